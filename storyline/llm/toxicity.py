@@ -31,8 +31,17 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def subword_buckets(vocab: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subword_buckets(vocab: list[str], buckets: int, part: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """(word position, bucket) of every character 3- to 5-gram of <word>, and of the whole word, in word order."""
+    words_, found = [], []
+    for i in range(0, len(vocab), part):  # what a part needs on the way is many times its result
+        w, b = _part_buckets(vocab[i : i + part], buckets)
+        words_.append((w + i).astype(np.int32))
+        found.append(b.astype(np.int32))
+    return np.concatenate(words_), np.concatenate(found)
+
+
+def _part_buckets(vocab: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in vocab]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
@@ -52,7 +61,7 @@ def subword_buckets(vocab: list[str], buckets: int) -> tuple[np.ndarray, np.ndar
     whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocab), dtype=np.uint64, count=len(vocab))
     word, found = np.concatenate([*word, np.arange(len(vocab))]), np.concatenate([*found, whole * np.uint64(0x9E3779B97F4A7C15)])
     order = np.argsort(word, kind="stable")
-    return word[order], ((found[order] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    return word[order], (found[order] >> np.uint64(20)) % np.uint64(buckets)
 
 
 class Toxicity:
@@ -91,6 +100,7 @@ class Toxicity:
             doc.append(np.full(len(a), d))
             n += len(x)
         tokens, (a, b), doc = np.concatenate(ids), np.concatenate(ends, axis=1), np.concatenate(doc)
+        del ids, ends
         size, first = np.maximum(b - a, 1), np.r_[0, np.flatnonzero(np.diff(doc)) + 1]
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
         state = {k: [0.0, 0.0] for k in ("vectors", "out", "bias")}
@@ -153,7 +163,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1000, **options) -> Toxicity:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 700, **options) -> Toxicity:
     """Fit on rows that are not held out; a document with several labels counts once, toxic if any says so."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.where(~held_out(F.col("doc_id")))
