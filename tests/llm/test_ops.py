@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from storyline.llm import hamming_search, langid, line_dedup, mixing, packing, repeat_dedup, shingle_join, toxicity, url_filter, vector_dedup
 from storyline.llm.common import components
+from storyline.llm.folds import bounded_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = [f"w{i}" for i in range(400)]
@@ -279,3 +280,16 @@ def test_vectors_recall(spark):
         assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
         assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in (900, 901, 902, 903))
         assert out[120]["component_id"] == 0 and not out[120]["kept"] and len(out) == len(rows)
+
+
+def test_training_rows_are_those_whose_ids_hash_lowest(spark):
+    rows = [(i, f"t{i}", None if i % 50 == 0 else ("hot" if i % 10 else "rare")) for i in range(1, 6000)]
+    rows += [(7, "t7", "hot")] * 30 + [(None, "no id", "rare")]
+    got = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), "lang", 40)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id")).toPandas()
+    want = []
+    for lang in ("hot", "rare"):
+        own = frame[frame.lang == lang].sort_values(["h", "doc_id", "text"]).head(40)
+        want += own[["lang", "text"]].values.tolist()
+    assert sorted([r["lang"], r["text"]] for r in got.collect()) == sorted(want)
+    assert bounded_sample(spark.createDataFrame([], "doc_id long, text string, lang string"), "lang", 40).count() == 0
