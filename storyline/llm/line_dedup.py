@@ -91,13 +91,17 @@ class LineRuns:
     def totals(self) -> DataFrame:
         return self.merged(self.runs())
 
+    def total(self) -> int:
+        """Rows of line_hashes() that the runs stand for."""
+        return self.runs().agg(F.sum("n_docs")).first()[0] or 0
+
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
     """docs with text reduced to its kept lines, and n_lines, n_dropped.
 
     Every line key of at least min_chars code points found in at least min_docs documents is dropped from all
     but the largest doc_id that holds it. The hashes are made once and enter the runs in `batches` deliveries;
-    every document is in exactly one of them.
+    every document is in exactly one of them. Rows of very common keys meet them by broadcast, the others by a shuffle.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
@@ -108,9 +112,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b).drop("batch"))
-    heavy = runs.totals().where(F.col("n_docs") >= min_docs).where("last_doc is not null").select(*KEY, "last_doc")
+    heavy = runs.totals().where(F.col("n_docs") >= min_docs).where("last_doc is not null").select(*KEY, "n_docs", "last_doc")
+    heavy = cut(heavy, "heavy-lines")
+    # A key with more than 1/common of all rows would fill a task; fewer than `common` keys can have that many.
+    common, total = 4 * partitions(spark), runs.total()
+    often = F.col("n_docs") * common > total
+    hot, rest = F.broadcast(heavy.where(often).drop("n_docs")), heavy.where(~often).drop("n_docs")
+    held = hashes.drop("batch").join(hot, KEY).unionByName(hashes.drop("batch").join(hot, KEY, "left_anti").join(rest, KEY))
     drops = (
-        hashes.join(heavy, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+        held.where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     )
     lines = _lines(F.col("text"))
