@@ -7,7 +7,8 @@ follows.
 
 1. Round at 64 bytes. A string of `length` bytes is represented by the position, among its first 128, whose 64-byte rank
    is smallest; equal strings choose the same. So one position in about 65 is sorted, and strings represented by a
-   unique one are unique.
+   unique one are unique. The same holds for the last 128 positions, so every window of 191 bytes of a text sends its
+   representative, those in the last bytes of the text too.
 2. Round at `length` bytes, the rank pair at offset length - 128 of the 128-byte ranks. The strings left over travel as
    the bytes around their representative, dealt by its rank, so equal ones meet; equal stretches that a task holds
    several times (near copies) travel once with the list of their places. The task ranks and sorts them.
@@ -37,6 +38,7 @@ from .common import cut
 _U = np.uint64
 _RANK = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
 GRAM, SPAN = 64, 128
+WINDOW = GRAM + SPAN - 1  # bytes that decide a representative
 CHUNK_BYTES = 400_000
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 
@@ -59,7 +61,7 @@ def ranks(raw: np.ndarray, length: int) -> np.ndarray:
 
 def representatives(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts raw[bounds[i]:bounds[i + 1]]: starts of all strings of `length` bytes inside a text, the
-    representative of each, and the ranks of GRAM bytes by position."""
+    representative of the window from each position, and the ranks of GRAM bytes by position."""
     gram = ranks(raw, GRAM)
     best, n = np.arange(len(gram), dtype=np.int32), 1
     value = gram
@@ -70,7 +72,7 @@ def representatives(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[n
         n *= 2
     size = np.maximum(np.diff(bounds) - length + 1, 0)
     start = np.repeat(bounds[:-1] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    return start, best[start], gram
+    return start, best, gram
 
 
 def _texts(batch: pa.RecordBatch, least: int, seen: set[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
@@ -134,8 +136,8 @@ def _deal(length: int, buckets: int):
         seen: set[int] = set()
         for batch in batches:
             for raw, bounds, nodes, _ in _texts(batch, length, seen):
-                _, rep, gram = representatives(raw, bounds, length)
-                at = np.unique(rep)
+                start, best, gram = representatives(raw, bounds, WINDOW)
+                at = np.unique(best[start])
                 text = np.searchsorted(bounds, at, side="right") - 1
                 yield _packed((gram[at] % _U(buckets)).astype(np.int64), nodes[text], {"pos": (at - bounds[text]).astype("<u4"), "rank": gram[at].astype("<u8")})
 
@@ -177,18 +179,14 @@ def _stretches(length: int, buckets: int):
             held: dict[bytes, list[tuple[int, int]]] = {}
             where: dict[bytes, int] = {}
             for raw, bounds, nodes, rows in _texts(batch, length, seen):
-                start, rep, gram = representatives(raw, bounds, length)
+                start, best, gram = representatives(raw, bounds, length)
+                rep = best[start]
                 known = np.concatenate([np.frombuffer(places[r].as_py(), "<u4").astype(np.int64) + b for r, b in zip(rows, bounds[:-1], strict=True)])
                 flag = np.zeros(len(raw), dtype=bool)
                 flag[known] = True
-                # a second representative, of the string's last 128 places, must be repeated too
-                text_end = np.repeat(bounds[1:], np.maximum(np.diff(bounds) - length + 1, 0))
-                off = length - GRAM - SPAN + 1
-                ok = flag[rep]
-                if off > 0:
-                    shifted = np.searchsorted(start, start + off)
-                    inside = (shifted < len(start)) & (start + off + length <= text_end)
-                    ok &= ~inside | flag[rep[np.minimum(shifted, len(rep) - 1)]]
+                # a second representative, of the string's last 128 places, must be repeated too; _deal sends it
+                # from every text that holds the string, as its window of WINDOW bytes ends with the string
+                ok = flag[rep] & flag[best[start + length - WINDOW]]
                 start, rep = start[ok], rep[ok]
                 if not len(start):
                     continue
@@ -268,8 +266,8 @@ def _small(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 200, broadcast_bytes: int = 64_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
     """(node, spans, copies): node = xxhash64 of a text; spans of its repeated bytes as packed pairs; copies for a text that occurs again."""
-    if length < GRAM + SPAN - 1:
-        raise ValueError(f"length must be {GRAM + SPAN - 1} bytes at least")
+    if length < WINDOW:
+        raise ValueError(f"length must be {WINDOW} bytes at least")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("node"))
     whole = cut(texts.groupBy("node").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(F.col("size") >= length), "texts")

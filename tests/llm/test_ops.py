@@ -110,6 +110,22 @@ def test_repeats_match_brute_force(spark, docs, rows):
     assert repeat_dedup.remove_repeats(clash).count() == len(rows)
 
 
+def test_repeats_at_text_ends_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+
+    texts = []
+    for i in range(180):  # a passage in two texts: at the start, in the middle, at the end or just before it
+        passage = letters(200 + i % 12)
+        for place in (i % 4, i // 4 % 4):
+            front, back = ((0, 300), (300, 300), (300, 0), (300, 1 + i % 10))[place]
+            texts.append(letters(front) + passage + letters(back))
+    got = sorted(tuple(r)[1:] for r in repeat_dedup.op4(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == sorted(repeat_dedup.brute_force(texts))
+
+
 def test_lines(spark, docs, rows):
     got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.op9(docs).collect()}
     held = defaultdict(set)
