@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five stages, each on all that the one before kept.
 
-The last stage returns pieces as rows; the others return the columns of documents. Documents with the same doc_id are
-judged each in stages 1 and 2, and kept or dropped together in stage 3; stage 4 repeats a document that it takes twice.
+The last stage returns pieces as rows; the others return the columns of documents. Rows with the same doc_id are
+judged each in stages 1 to 3, rows without one too; stage 3 keeps one row of each component of near copies, and every
+row without words. Stage 4 repeats a document that it takes twice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from storyline.llm.common import cut, table
 from storyline.llm.line_dedup import dedup_lines
 from storyline.llm.mixing import mix
 from storyline.llm.packing import pack
-from storyline.llm.shingle_join import jaccard_components
+from storyline.llm.shingle_join import linked_rows, row_key
 from storyline.llm.toxicity import learn_toxicity, score_toxicity
 
 
@@ -30,9 +31,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    gone = cut(jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: that of the smallest doc_id, and of several such the smallest row key."""
+    each = linked_rows(docs).where("n_shingles > 0").groupBy("row", "component").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    each = cut(each, "rows")
+    first = each.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("least"))
+    first = first.select(F.col("least.row").alias("row"), F.lit(True).alias("again"))
+    marks = each.join(first, "row", "left").where("again is null or n > 1").select(F.col("row").alias("_row"), F.coalesce("again", F.lit(False)).alias("again"))
+    marks = cut(marks, "near-copies")
+    hint = F.broadcast if marks.count() <= broadcast_rows else lambda df: df
+    keyed = docs.withColumn("_row", row_key(docs))
+    out = keyed.join(hint(marks.select("_row")), "_row", "left_anti")
+    again = marks.where("again").select("_row")  # kept, but the row is there more than once
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(hint(again), "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

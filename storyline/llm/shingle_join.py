@@ -19,8 +19,8 @@ exact, in these steps:
 4. Links are reduced to spanning edges in the tasks; components over them give component_id.
 
 Defined results. A document of one to four words has its whole sequence as only shingle; one without words has an empty
-set and is its own component. Repeated rows, and copies, are one node, and each row is returned. A null doc_id is left
-out of the minimum, so a component of such rows only has a null id. An empty table gives an empty result. Extra columns
+set and is its own component. Repeated rows, and copies, are one node, and each row is returned. Rows with a null
+doc_id link as others do; the null is left out of the minimum, so a component of such rows only has a null id. An empty table gives an empty result. Extra columns
 are not read. Shingles and sets are told apart by 64-bit hashes; with 1e9 different texts the chance that any two sets
 are mistaken for one is 3 %.
 """
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -112,7 +112,7 @@ def fingerprint(tokens: np.ndarray) -> int:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s for _, texts in chunks(batch) for s in shingle_sets(texts)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["row", "doc_id", "n_shingles", "node"])
 
 
 # Arrays travel packed: per bucket one row with nodes, their set sizes, how many tokens each has, and the tokens.
@@ -356,19 +356,31 @@ def _link_task(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, the same for equal rows only; xxhash64 passes over nulls, so their places are hashed too."""
+    return F.xxhash64(*docs.columns, *[F.isnull(c) for c in docs.columns])
+
+
 def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    out = linked_rows(docs.select("doc_id", "text"), block, bucket_tokens, broadcast_rows)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, block: int = 2048, bucket_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """row (its row_key), doc_id, n_shingles, component_id of every row of docs, and component, which names the
+    component by a node where the set isn't empty, so also where no row has an id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(row_key(docs).alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(_measure, f"doc_id {kind}, n_shingles long, node long"), "sets")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    rows = cut(docs.mapInArrow(_measure, f"row long, doc_id {kind}, n_shingles long, node long"), "sets")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("row").alias("pick"))
 
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
     width = 6 if total < 1 << 34 else 8
     bits = 8 * width - 4
-    dealt = docs.mapInArrow(_deal(buckets, width, bits), PACKED)
+    dealt = docs.select("text").mapInArrow(_deal(buckets, width, bits), PACKED)
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets, width, bits), PACKED)
     keys = shared.groupBy("bucket").applyInArrow(_prefix(width), "token long, node long")
     keys = cut(keys, "prefixes")
@@ -377,13 +389,13 @@ def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int =
     clusters = components(near).withColumnRenamed("component", "cluster")
 
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    wanted = clusters.join(sizes, "cluster").join(nodes, "node").where("rep is not null")
-    wanted = cut(wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"), "n", "cluster", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "clusters")
+    wanted = clusters.join(sizes, "cluster").join(nodes, "node")
+    wanted = cut(wanted.select(F.col("pick").alias("_pick"), F.col("node").alias("_node"), "n", "cluster", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "clusters")
     n_wanted = wanted.count()
     sets = None
     if n_wanted:
         asked = F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted
-        picked = docs.join(asked, docs["doc_id"] == F.col("_rep")).select("text", "_node", "cluster", "blocks")
+        picked = docs.join(asked, docs["row"] == F.col("_pick")).select("text", "_node", "cluster", "blocks")
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -391,7 +403,7 @@ def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int =
                 right = pa.array([fingerprint(s) == n for s, n in zip(own, batch.column("_node").to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("cluster"), batch.column("blocks"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "cluster", "blocks", "tokens"]).filter(right)
 
-        # of rows that repeat a doc_id, those with another text are dropped by their fingerprint, and equal ones here
+        # rows that are equal throughout have one key; they are dropped here
         sets = picked.mapInArrow(tokens, "node long, cluster long, blocks int, tokens binary").dropDuplicates(["node"])
         sets = cut(sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "cluster-sets")
     edges = _edges(sets, max(1, n_wanted // 4000))
@@ -400,9 +412,9 @@ def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int =
     else:
         labels = components(edges)
     top = labels.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    per = nodes.join(labels, "node", "left").join(top, "component", "left").select(F.col("node").alias("_node"), F.coalesce("component_id", "rep").alias("component_id"))
+    per = nodes.join(labels, "node", "left").join(top, "component", "left").select(F.col("node").alias("_node"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(per, (F.col("n_shingles") > 0) & (F.col("node") == F.col("_node")), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("row", "doc_id", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _edges(sets: DataFrame | None, groups: int) -> DataFrame | None:
