@@ -140,12 +140,9 @@ def cluster_titles(s, d) -> DataFrame:
 
 
 def keyword_overlaps(s, d) -> DataFrame:
-    m = _members(s, d).groupBy("cluster_id", "source").agg(F.array_distinct(F.flatten(F.collect_set(T.keywords(F.substring(F.col("title"), 1, 60))))).alias("words"))
-    m = m.select(F.xxhash64("cluster_id", "source").alias("id"), F.concat_ws(":", "cluster_id", "source").alias("name"), "words")
-    names = m.select("id", "name")
-    out = A.keyword_pairs(m.select("id", "words"), 0.65)
-    out = out.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
-    return out.select(F.least("na", "nb").alias("left_name"), F.greatest("na", "nb").alias("right_name"), F.round("score", 6).alias("score"))
+    own = news(s, d).select("id", T.keywords(F.col("title")).alias("words"))
+    out = A.keyword_pairs(own, 0.65)
+    return out.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("score", 6).alias("score"))
 
 
 def kept_articles(s, d) -> DataFrame:

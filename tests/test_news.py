@@ -1,9 +1,11 @@
+import random
 from datetime import datetime
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from storyline import queries
 from storyline.functions import text as T
 from storyline.lexicons import ENTITIES, SIGNAL_PHRASES
 from storyline.operators import articles, graph, impact, quality, reports, search, signals, timeline
@@ -146,3 +148,16 @@ def test_feed_and_stream(spark, tmp_path):
         ingest_available(spark, str(tmp_path / "in"), NEWS, str(tmp_path / "table"), str(tmp_path / "cp"))
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+
+
+def test_keyword_overlaps_match_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(9)], k=rng.randint(1, 12))) for _ in range(150)]
+    # two fragments, so few keywords in common at the front; the pair shares those further on
+    same = "further words shared well past sixty characters"
+    docs = [(i, t, "s") for i, t in enumerate([*texts, None, "", None])] + [(1000 + i, same, f"s{i}") for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = {r["id"]: set(r["k"]) for r in queries.news(spark, str(tmp_path)).select("id", T.keywords(F.col("title")).alias("k")).collect()}
+    want = {(a, b): round(len(own[a] & own[b]) / min(len(own[a]), len(own[b])), 6) for a in own for b in own if a < b and own[a] and own[b] and len(own[a] & own[b]) / min(len(own[a]), len(own[b])) >= 0.65}
+    got = [tuple(r) for r in queries.keyword_overlaps(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 24 and {(a, b): s for a, b, s in got} == want
