@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,13 +24,16 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) an own one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode only, where one machine is all there
+    is, an own temporary folder stands in for an unset one, removed at exit; on a cluster an unset one is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("storyline.scratch.dir", None)
     if not where:
-        where = spark.conf.get("storyline.scratch.dir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="storyline-")
-            spark.conf.set("storyline.scratch.dir", where)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="storyline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
+        spark.conf.set("storyline.scratch.dir", where)
     return where.rstrip("/")
 
 
@@ -48,19 +53,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, total: int, salts: int = 32) -> DataFrame:
+    """rows inner-joined with keyed (one row a key, `count` of `total` rows of `rows` for each), hot keys spread over tasks.
+
+    A key that holds more than a thousandth of the total is hot, so fewer than a thousand are, whatever the data: their
+    keys alone are sent to all tasks. Rows of a hot key are dealt over `salts` tasks, to which its row in keyed is copied.
+    """
+    hot = keyed.where(F.col(count) * 1000 > total)
+    tagged = rows.join(F.broadcast(hot.select(*key, F.lit(salts).alias("_salts"))), key, "left")
+    tagged = tagged.withColumn("_salt", F.when(F.col("_salts") > 0, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_salts")
+    last = F.when(F.col(count) * 1000 > total, F.lit(salts - 1)).otherwise(0)
+    return tagged.join(keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))), [*key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reachable.
 
     Alternates large-star and small-star steps; a round leaves at most the edges it had, and every node ends
     with one edge to its component's smallest node. A round groups neighbours by node with min(), which
-    combines before the shuffle, and joins that minimum back, so no neighbour list is ever gathered.
-    Self-loops and repeated edges are fine; an empty input gives an empty result.
+    combines before the shuffle, and joins that minimum back, a hub's edges spread over tasks, so no neighbour list is
+    ever gathered. Self-loops and repeated edges are fine; an empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        hit = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
+        hit = spread_join(both, least, ["a"], "_n", 2 * total if large else total)
         if large:
             return hit.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         moved = hit.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -69,12 +87,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     kind = edges.schema["a"].dataType
     e = edges.select(F.greatest("a", "b").cast(kind).alias("a"), F.least("a", "b").cast(kind).alias("b"))
     e = cut(e.where("a <> b").distinct(), "edges")
-    last = None
     for _ in range(max_rounds):
-        e = cut(star(star(e, True), False), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
+        # done once every node has one edge or is the end of others' edges, but not both
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        total, left = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 or (up = 1 and least = 0)"))).first()
+        if not left:
             out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
-        last = now
+        e = cut(star(cut(star(e, True, total), "stars"), False, total), "edges")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -9,18 +9,20 @@ Equal codes are searched once: a code keeps its row count and its k + 1 smallest
 (distance, id) can need.
 
 Defined results. A vector that is null, has not `bits` components, or holds a null or non-finite component has no code:
-it is neither found nor searched for. Rows with a null id are left out; repeated rows are found each. If there are fewer
+it is neither found nor searched for. Rows with a null id are left out; repeated rows are found each, and each asks. If there are fewer
 than k other rows, all of them are returned. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 #: The steps that are taken together in one Spark job; each tuple is (first, past the last).
 ROUNDS = ((0, 12), (12, 16), (16, 18), (18, 20), (20, 22), (22, 24), (24, 28), (28, 36), (36, 65))
@@ -76,12 +78,26 @@ def _prober(steps: tuple[int, int], segments: int, k: int):
     return probe
 
 
+def _reach(steps: tuple[int, int], segments: int, part_bits: int) -> list[tuple[int, int]]:
+    """(seg, flip): the parts that some bucket of these steps lies in, as bits to flip in the query's own part."""
+    width, out = 64 // segments, []
+    for seg in range(segments):
+        radii = {t // segments for t in range(*steps) if t % segments == seg and t // segments <= width}
+        for flip in range(1 << part_bits):
+            n = flip.bit_count()
+            if any(n <= r <= n + width - part_bits for r in radii):
+                out.append((seg, flip))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, part_codes: int = 500_000) -> DataFrame:
     """Rows (query_id, rank, vec_id, distance) for queries and vectors of (vec_id, code), a query's own id left out.
 
-    Each segment's directory is cut into parts of about part_codes codes; a part meets the queries still open, and hands
-    on k + 1 codes a query. Between rounds only those and the open queries are kept.
+    Each segment's directory is cut by the low bits of its values into parts of about part_codes codes. A query still open
+    goes to the parts that a bucket of the round's steps lies in, and a part hands on k + 1 codes for it. Between rounds
+    only those and the open queries are kept.
     """
+    spark = vectors.sparkSession
     has = vectors.where("code is not null and vec_id is not null").select("vec_id", "code")
     by_id = Window.partitionBy("code").orderBy("vec_id")
     heads = has.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
@@ -89,17 +105,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4
     sizes = has.groupBy("code").agg(F.count("*").alias("n"))
     index = cut(heads.join(sizes, "code").withColumn("first_id", F.element_at("ids", 1)), "codes")
     asked = cut(queries.where("code is not null and vec_id is not null").select("vec_id", "code"), "queries")
-    parts = -(-max(index.count(), 1) // part_codes)
     width = 64 // segments
+    part_bits = min(width, math.ceil(math.log2(max(1, index.count() / part_codes))))
     segment = F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))
-    value = F.expr(f"shiftrightunsigned(code, seg * {width}) & {(1 << width) - 1}")
-    dealt = index.select("code", "first_id", "n", segment.alias("seg")).withColumn("part", F.pmod(value, F.lit(parts)).cast("int"))
 
-    open_ = asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(64))
+    def part(code: str):
+        return F.expr(f"cast(shiftrightunsigned({code}, seg * {width}) & {(1 << part_bits) - 1} as int)")
+
+    dealt = index.select("code", "first_id", "n", segment.alias("seg")).withColumn("part", part("code"))
+    open_ = asked.groupBy(F.col("code").alias("q")).agg(F.count("*").alias("asks")).withColumn("bound", F.lit(64))
+    asks = open_ = cut(open_, "open")
     best = None
     ranked = Window.partitionBy("q").orderBy("dist", "first_id")
     for steps in ROUNDS:
-        sent = open_.select("q", "bound", segment.alias("seg")).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        reach = spark.createDataFrame(_reach(steps, segments, part_bits), "seg int, flip int")  # at most segments * 2^width rows
+        sent = open_.select("q", "bound", segment.alias("seg")).withColumn("own", part("q")).join(F.broadcast(reach), "seg")
+        sent = sent.select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("part"))
         schema = "q long, code long, dist int, first_id long, n long"
         found = dealt.groupBy("seg", "part").cogroup(sent.groupBy("seg", "part")).applyInPandas(_prober(steps, segments, k), schema)
         if best is not None:
@@ -111,10 +132,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4
         open_ = cut(open_.select("q", F.when(F.col("c") > k, F.col("most")).otherwise(64).alias("bound")), "open")
         if open_.isEmpty():
             break
-    found = asked.withColumnRenamed("vec_id", "query_id").withColumnRenamed("code", "q").join(best.select("q", "code", "dist"), "q")
-    found = found.join(index.select("code", "ids"), "code").select("query_id", "dist", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", F.col("dist").alias("distance")).where(F.col("rank") <= k)
+    # a code counts while fewer than k + 1 rows, the query's own one among them, are nearer
+    nearer = F.sum("n").over(Window.partitionBy("q").orderBy("dist").rangeBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("_nearer", F.coalesce(nearer, F.lit(0))).where(F.col("_nearer") <= k).join(index.select("code", "ids"), "code")
+    best = best.groupBy("q").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("dist"), i.alias("vec_id"))))).alias("near"))
+    best = best.withColumn("near", F.slice(F.array_sort("near"), 1, k + 1)).join(asks, "q")  # k + 1 rows serve all that ask for a code
+    found = spread_join(asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), best, ["q"], "asks", asked.count())
+    mine = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    found = found.select("query_id", F.posexplode(F.slice(mine, 1, k)).alias("at", "x"))
+    return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.dist").alias("distance"))
 
 
 def op1(embeddings: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Operator 9: line de-duplication with levelled sorted runs of line hashes.
 
 Defined results. A null or empty text is one empty line. A row counts as one document, so a doc_id that
-occurs twice counts twice. A null doc_id is lower than any other. Lines whose key is short, or found in
-too few documents, stay. An empty table gives an empty result. Extra columns stay; one named
-like a result column is replaced.
+occurs twice counts twice. A null doc_id is lower than any other; lines that only rows without an id hold stay. Lines
+whose key is short, or found in too few documents, stay. Very long texts take their lines as one array. An empty table
+gives an empty result. Extra columns stay; one named like a result column is replaced.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, partitions, shared_path
+from .common import ascii_lower, cut, partitions, shared_path, spread_join
 
 KEY = ["h1", "h2"]
 
@@ -29,18 +29,24 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text", F.isnull("doc_id"))
+
+
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2): the distinct long-enough line keys of each row."""
-    keys = F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.length(k) >= min_chars)
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h")).select("doc_id", "h.*")
+    """(doc_id, row, h1, h2): the distinct long-enough line keys of each row; row is a hash of its id and text."""
+    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.length(k) >= min_chars))
+    return docs.select("doc_id", _row().alias("row"), F.explode(F.transform(keys, _hash)).alias("h")).select("doc_id", "row", "h.*")
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, n_docs, last_doc, fresh) in levels.
+    """Sorted runs of (h1, h2, n_docs, keeper) in levels, filled from the largest doc_ids down.
 
-    add() aggregates a batch, anti-joins it with the runs to find its fresh keys and stores it as a run of
-    level 0. Once a level holds `fanout` runs they are merged into one run of the next, so a key is
-    rewritten a logarithmic number of times. Each run is dealt by key and sorted within its files.
+    add() aggregates a batch by key and anti-joins it with the runs. A key that no run holds is fresh: it enters with its
+    largest doc_id as keeper, and as later batches have smaller ids only, no one contests that. A key that is held enters
+    with its count alone. The two parts are stored as a run of level 0; once a level holds `fanout` runs they are merged
+    into one run of the next, so a key is rewritten a logarithmic number of times. Each run is dealt by key and sorted
+    within its files, so the joins with it need no sort.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
@@ -58,19 +64,20 @@ class LineRuns:
 
     @staticmethod
     def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
+        """One row a key; of its entries exactly one has a keeper, or none where all its ids are null."""
+        return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.min("keeper").alias("keeper"))
 
     def add(self, hashes: DataFrame) -> DataFrame:
-        """Store a batch of line_hashes(); returns its run, fresh telling keys that no earlier run held."""
-        batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        """Store a batch of line_hashes(), whose ids lie below those of all batches before; returns its fresh keys."""
+        batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         known = self.runs()
         if known is None:
-            run = batch.withColumn("fresh", F.lit(True))
+            run = fresh = self._store(batch)
         else:
             batch, known = cut(batch, "line-batch"), known.select(*KEY)
-            run = batch.join(known, KEY, "left_anti").withColumn("fresh", F.lit(True))
-            run = run.unionByName(batch.join(known, KEY, "left_semi").withColumn("fresh", F.lit(False)))
-        run = self._store(run)
+            fresh = batch.join(known, KEY, "left_anti")
+            held = batch.join(known, KEY, "left_semi").withColumn("keeper", F.lit(None).cast(batch.schema["keeper"].dataType))
+            run = self._store(fresh.unionByName(held))
         self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -80,7 +87,7 @@ class LineRuns:
                 self.levels.append([])
             self.levels[level + 1].append(whole)
             level += 1
-        return run
+        return fresh
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
@@ -96,28 +103,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """docs with text reduced to its kept lines, and n_lines, n_dropped.
 
     Every line key of at least min_chars code points found in at least min_docs documents is dropped from all
-    but the largest doc_id that holds it. The hashes are made once and enter the runs in `batches` deliveries;
-    every document is in exactly one of them.
+    but the largest doc_id that holds it. The hashes are made once and enter the runs in `batches` deliveries, cut at
+    approximate quantiles of doc_id, the largest ids first; every document is in exactly one of them.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
+    shares = [1 - (b + 1) / batches for b in range(batches - 1)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
+    later = sum((F.coalesce(F.col("doc_id") < x, F.lit(True)).cast("int") for x in bounds or []), F.lit(0))
     path = shared_path(spark, "line-hashes")
-    hashes = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    hashes = line_hashes(docs, min_chars).withColumn("batch", later)
     hashes.write.partitionBy("batch").parquet(path)
     hashes = spark.read.schema(hashes.schema).parquet(path)
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b).drop("batch"))
-    heavy = runs.totals().where(F.col("n_docs") >= min_docs).where("last_doc is not null").select(*KEY, "last_doc")
-    drops = (
-        hashes.join(heavy, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
-    )
+    heavy = cut(runs.totals().where(F.col("n_docs") >= min_docs).where("keeper is not null"), "line-heavy")
+    total = heavy.agg(F.sum("n_docs")).first()[0] or 0
+    drops = spread_join(hashes.drop("batch"), heavy, KEY, "n_docs", total).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = drops.groupBy(F.col("row").alias("_drop_row")).agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     lines = _lines(F.col("text"))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(
         F.filter(lines, lambda x: (F.length(_key(x)) < min_chars) | ~F.array_contains(F.col("_drop"), _hash(_key(x))))
     )
-    joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_drop_id")), "left")
+    joined = docs.join(drops.hint("shuffle_hash"), _row() == F.col("_drop_row"), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], F.size(lines).alias("n_lines"), kept.alias("_kept"))
     changed = joined.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
     return changed.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_kept")

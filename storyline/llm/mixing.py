@@ -1,7 +1,7 @@
 """Operator 10: mixing sources to target weights with a splitting tree over blocks of documents.
 
-Defined results. A null text has size 0; a null source is a source of its own, last in order. Rows that share a
-doc_id are drawn together. A source whose size is 0 has target 0 and its rows are never taken; an empty table
+Defined results. A null text has size 0; a null source is a source of its own, last in order. Rows that share doc_id and
+text are drawn together. A source whose size is 0 has target 0 and its rows are never taken; an empty table
 gives an empty result. Extra columns stay; in mix_plan's result one named like a result column is replaced.
 """
 
@@ -23,42 +23,61 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, n_docs, target) by water filling; one row a source.
+    """(source, source_size, target) by water filling; one row a source.
 
-    target = least(cap * size, weight * level), the level being such that the targets sum to share * all sizes.
-    The windows run over one row a source.
+    Sources in code point order weigh 5, 2, 1 in turn. A source gets weight * level; one that would pass cap * size stops
+    there, and the level rises for the others, round after round, until none passes. No task sees all sources: they are
+    sorted by range and numbered within a partition, behind the partitions before.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place).cast("double"))
-    per = per.withColumn("cap", cap * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    past, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    per = per.withColumn("level", (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(past), F.lit(0.0))) / F.sum("weight").over(rest))
-    per = per.withColumn("level", F.min_by(F.when(F.col("ratio") >= F.col("level"), F.col("level")), F.when(F.col("ratio") >= F.col("level"), F.col("ratio"))).over(whole))
-    target = F.least(F.col("cap"), F.col("weight") * F.coalesce("level", F.lit(float("inf"))))
-    return per.select("source", "source_size", "n_docs", target.alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = F.col("source").asc_nulls_last()
+    per = cut(per.repartitionByRange(partitions(sizes.sparkSession), by).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    past = per.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_past"))
+    place = F.pmod(F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1 + F.col("_past"), F.lit(len(weights))) + 1
+    per = per.join(F.broadcast(past), "_part").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place.cast("int")).cast("double"))
+    per = cut(per.select("source", "source_size", "weight", (cap * F.col("source_size")).alias("cap")), "mix-sources")
+    level, full = 0.0, -1
+    while True:
+        open_ = F.col("cap") > F.col("weight") * level
+        state = per.agg(F.sum("source_size"), F.sum(F.when(~open_, F.col("cap"))), F.sum(F.when(open_, F.col("weight"))), F.count_if(~open_)).first()
+        if state[3] == full or not state[2]:  # no further source is full, or all are
+            break
+        level, full = (share * state[0] - (state[1] or 0.0)) / state[2], state[3]
+    rest = F.lit(level) if state[2] else F.lit(float("inf"))
+    return per.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * rest).alias("target"))
+
+
+def _numbered(rows: DataFrame, group: str, seed: int, key: list[str], slots: int) -> DataFrame:
+    """rows with _rank, from 1, in the order of a seeded hash of key within each group, and _size, the group's rows.
+
+    The hash range is cut into slots; a task numbers one slot of one group, behind the slots before.
+    """
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_slot", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * slots))
+    counts = rows.groupBy(group, "_slot").agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_slot", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_past"), F.sum("_n").over(Window.partitionBy(group)).alias("_size"))
+    at = F.row_number().over(Window.partitionBy(group, "_slot").orderBy("_h", *key))
+    return rows.withColumn("_rank", at).join(counts, [group, "_slot"]).withColumn("_rank", F.col("_rank") + F.col("_past")).drop("_h", "_slot", "_past")
 
 
 def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 17, rows_per_block: int = 50_000) -> DataFrame:
     """docs with size, source_size, target, copies (0 to 2), taken = copies * size, shard_1, shard_2, shuffle_key.
 
-    1. Each source is cut into blocks by a hash of doc_id. A source takes floor(target / size) copies of every
+    1. Each source is cut into blocks by a hash of doc_id and text. A source takes floor(target / size) copies of every
        block, and of the rest whole blocks in permuted order until the target; the block on the border is cut at
        a hash value, so the decision for a row needs nothing but its block's row.
     2. The drawn block copies are dealt to `shards` (a power of two) by a binary tree: at each node the blocks are
        permuted and the first half goes left. What a source then has on the left is a draw from the multivariate
        hypergeometric distribution, and the quotas are exact: each block copy goes to exactly one shard.
     3. shuffle_key orders rows within a shard.
-    The hash of the seed and doc_id decides everything, so runs agree.
+    The hash of the seed, doc_id and text decides everything, so runs agree.
     """
     docs = docs.drop(*RESULT)
     levels = int(math.log2(shards))
     if 1 << levels != shards:
         raise ValueError("shards must be a power of two")
-    rolled = docs.withColumn("size", word_count(F.col("text"))).withColumn("_roll", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    rolled = docs.withColumn("size", word_count(F.col("text"))).withColumn("_roll", F.xxhash64(F.lit(seed), "doc_id", "text"))
     sizes = cut(rolled.select("source", "size", "_roll"), "mix-sizes")
     n_blocks = max(64, -(-sizes.count() // rows_per_block))
     block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_roll")), F.lit(n_blocks)).cast("int")
@@ -74,18 +93,18 @@ def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 17, rows_per_block: i
     blocks = cut(blocks.withColumn("_extra", state), "mix-blocks")
 
     edge = blocks.where("_extra = 'part'").select(F.col("_s").alias("_es"), F.col("_block").alias("_eb"), (F.col("_rest") - F.col("_past")).alias("_left"))
-    near = sizes.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("_es")) & (F.col("_block") == F.col("_eb")))
+    near = sizes.join(edge, F.col("source").eqNullSafe(F.col("_es")) & (F.col("_block") == F.col("_eb")))
     near = near.groupBy("_es", "_eb", "_left", "_roll").agg(F.sum("size").alias("size"))
     walk = Window.partitionBy("_es", "_eb").orderBy("_roll").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_before", F.sum("size").over(walk) - F.col("size"))
     cuts = near.where(F.col("_before") + F.col("size") / 2 <= F.col("_left")).groupBy("_es", "_eb").agg(F.max("_roll").alias("_cut"))
 
     drawn = blocks.select("_s", "_block", F.explode(F.array_compact(F.array(F.when((F.col("_base") > 0) | (F.col("_extra") != "none"), 1), F.when((F.col("_base") > 1) | ((F.col("_base") > 0) & (F.col("_extra") != "none")), 2)))).alias("_copy"))
-    tree = drawn.withColumn("_shard", F.lit(0))
+    tree = cut(drawn.withColumn("_shard", F.lit(0)), "mix-drawn")
+    slots = max(16, tree.count() // 20_000)
     for level in range(levels):
-        node = Window.partitionBy("_shard")
-        at = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed + 3 + level), "_s", "_block", "_copy"), "_s", "_block", "_copy"))
-        tree = tree.withColumn("_shard", F.col("_shard") * 2 + (at > F.ceil(F.count("*").over(node) / 2)).cast("int"))
+        tree = _numbered(tree, "_shard", seed + 3 + level, ["_s", "_block", "_copy"], slots)
+        tree = tree.withColumn("_shard", F.col("_shard") * 2 + (F.col("_rank") > F.ceil(F.col("_size") / 2)).cast("int")).drop("_rank", "_size")
     shard = tree.groupBy(F.col("_s").alias("_ts"), F.col("_block").alias("_tb")).agg(F.max(F.when(F.col("_copy") == 1, F.col("_shard"))).alias("shard_1"), F.max(F.when(F.col("_copy") == 2, F.col("_shard"))).alias("shard_2"))
     plan = blocks.join(cuts, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_block") == F.col("_eb")), "left")
     plan = plan.join(shard, F.col("_s").eqNullSafe(F.col("_ts")) & (F.col("_block") == F.col("_tb")), "left")
@@ -108,4 +127,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return mix_plan(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    """What the mix takes of each document, and the shards and the order there that the splitting tree gives its copies."""
+    plan = mix_plan(docs.select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "shard_1", "shard_2", "shuffle_key")

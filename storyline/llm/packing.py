@@ -5,7 +5,8 @@ one. The packing problem depends on how many pieces there are of each length onl
 rows goes to the driver, which solves it once for the whole corpus. The answer is a list of fillings with
 multiplicities; pieces of a length are numbered in Spark and meet their filling in a join.
 
-Defined results. A null or empty text is the end id alone. Repeated rows are packed each. An empty table gives an empty
+Defined results. A null or empty text is the end id alone; `<|endoftext|>` in a text is one token. Repeated rows are
+packed each, and of equal pieces any may take any of their places. An empty table gives an empty
 result. Columns other than doc_id and text are not read.
 """
 
@@ -24,48 +25,50 @@ from .common import cut, partitions
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
+#: Fixed value: the token that the vocabulary's JSON form adds.
+ADDED = {"<|endoftext|>": 50256}
 
 
-def encoder(path: str, pattern: str):
+def encoder(path: str, pattern: str, special: dict[str, int]):
     """The byte-level BPE vocabulary at path (token and id a line), with ids equal to those of its JSON form.
 
-    tiktoken applies the same merges as the JSON file's library about seven times as fast.
+    tiktoken applies the same merges as the JSON file's library about seven times as fast; the JSON form's added token
+    is cut out of a text before the rest is split, in both.
     """
     if path not in _ENCODERS:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
-def public_vocabulary() -> tuple[str, str]:
+def public_vocabulary() -> tuple[str, str, dict[str, int]]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ADDED
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: tuple[str, str]) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: tuple[str, str, dict[str, int]]) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of docs."""
-    path, pattern = vocabulary
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
+        code = encoder(*vocabulary)
         for batch in batches:
-            rows: list[tuple] = []
+            row, piece, begin, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = code.encode_ordinary(text.as_py() or "")
-                raw = np.array([*ids, end_id], dtype="<u4").tobytes()
-                n, start = len(ids) + 1, 0
-                first = n % capacity or min(n, capacity)
-                while start < n:
-                    size = first if start == 0 else capacity
-                    rows.append((i, len(rows) and rows[-1][0] == i and rows[-1][1] + 1 or 0, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)])))
-                    start += size
-            at, piece, start_, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
+                ids = np.r_[code.encode_to_numpy(text.as_py() or "", allowed_special="all", disallowed_special=()), end_id].astype("<u4")
+                n = len(ids)
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    row.append(i)
+                    piece.append(k)
+                    begin.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start_, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -204,7 +207,7 @@ def bin_completion(counts: dict[int, int], capacity: int, limit: int = 4000, wid
     return best
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: tuple[str, str, dict[str, int]] | None = None) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, capacity, end_id, vocabulary or public_vocabulary()), "pieces")
@@ -219,7 +222,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: tup
         first += bins
     slots = spark.createDataFrame(slots, "_size long, _lo long, _hi long, _first long, _each int, _at long")
     # number the pieces of each length: within salted groups, behind the groups before
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4 * partitions(spark))))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * partitions(spark))))
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_past"))

@@ -1,25 +1,29 @@
 """Operator 4: repeated passages by distributed prefix doubling.
 
-A byte goes if a string of `length` bytes that covers it also starts anywhere else. Ranks of strings grow by doubling:
-the rank of 2h bytes at a position is that of the pair of ranks of h bytes at the position and h further on. Spark deals
-the ranked positions by rank, each task sorts its share, and a position whose rank is unique there takes no part in what
-follows.
-
-1. Round at 64 bytes. A string of `length` bytes is represented by the position, among its first 128, whose 64-byte rank
-   is smallest; equal strings choose the same. So one position in about 65 is sorted, and strings represented by a
-   unique one are unique. The same holds for the last 128 positions, so every window of 191 bytes of a text sends its
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. Strings get ranks, at 64, 128 and
+`length` bytes; the rank at a greater length is that of the pair of ranks at a position and at an offset further on. Each
+round Spark sorts the pairs of the positions that are left, and one whose rank is unique takes no part in the next.
+
+1. 64 bytes. A string of `length` bytes is represented by the position, among its first 128, whose 64-byte rank is
+   smallest; equal strings choose the same. So one position in about 65 is ranked, and strings represented by a unique
+   one are unique. The same holds for the last 128 positions, so every window of 191 bytes of a text sends its
    representative, those in the last bytes of the text too.
-2. Round at `length` bytes, the rank pair at offset length - 128 of the 128-byte ranks. The strings left over travel as
-   the bytes around their representative, dealt by its rank, so equal ones meet; equal stretches that a task holds
-   several times (near copies) travel once with the list of their places. The task ranks and sorts them.
-3. The repeated strings of each text are merged into spans and cut out.
+2. 128 bytes: pairs at offset 64, from the representative on and up to its end. A string of `length` bytes holds one of
+   the two in whole, so it is unique if that is.
+3. `length` bytes: pairs of 128-byte ranks at offset length - 128, for all strings whose representatives are left. They
+   travel as the bytes around their representative, dealt by its pair, so equal ones meet; equal stretches that a task
+   holds several times (near copies) travel once with the list of their places. A task ranks and sorts them and
+   compares the bytes of those with equal ranks.
+4. The repeated strings of each text are merged into spans and cut out.
 
 Texts that occur more than once are one text here: with `length` bytes or more they go whole, and they take part as a
-source for others once.
+source for others once. In rounds 1 and 2 a rank that very many positions share is spread over tasks; in round 3 equal
+stretches are brought together before the shuffle, but the stretches around one representative meet in one task.
 
 Defined results. A null text is empty. Texts shorter than `length` lose nothing. Repeated rows, whatever their ids, are
-copies. An empty table gives an empty result. Extra columns stay; one named like a result column is replaced. Ranks and
-texts are told apart by 64-bit hashes.
+copies. Very long texts are ranked whole, in some 60 bytes of memory a byte. An empty table gives an empty result. Extra
+columns stay; one named like a result column is replaced. Whole texts are told apart by 64-bit hashes; ranks only sort
+out, as the bytes decide in round 3.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 _U = np.uint64
 _RANK = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -131,7 +135,9 @@ def _by_node(node: np.ndarray, buckets: int) -> np.ndarray:
     return (node.view(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(33)).astype(np.int64) % buckets
 
 
-def _deal(length: int, buckets: int):
+def _deal(length: int):
+    """Texts -> the representatives of their windows with their ranks at 64 bytes."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -139,74 +145,97 @@ def _deal(length: int, buckets: int):
                 start, best, gram = representatives(raw, bounds, WINDOW)
                 at = np.unique(best[start])
                 text = np.searchsorted(bounds, at, side="right") - 1
-                yield _packed((gram[at] % _U(buckets)).astype(np.int64), nodes[text], {"pos": (at - bounds[text]).astype("<u4"), "rank": gram[at].astype("<u8")})
+                yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(nodes[text]), pa.array((at - bounds[text]).astype(np.int32))], names=["rank", "node", "pos"])
 
     return deal
 
 
-def _repeated(buckets: int):
-    """A share of the ranked representatives -> those whose rank occurs again, dealt by text."""
+def _known(batch: pa.RecordBatch, rows: list[int], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some rows of a batch, and the text that each is in."""
+    places = batch.column("places")
+    offsets, values = places.offsets.to_numpy(), places.values.to_numpy()
+    own = [values[offsets[r] : offsets[r + 1]].astype(np.int64) for r in rows]
+    return np.concatenate(own), np.repeat(np.arange(len(rows)), [len(x) for x in own])
+
 
-    def repeated(key: tuple, group: pa.Table) -> pa.Table:
-        node, pos, rank = _nodes(group), _values(group, "pos", "<u4"), _values(group, "rank", "<u8")
-        order = np.lexsort((pos, node, rank))
-        node, pos, rank = node[order], pos[order], rank[order]
-        fresh = np.r_[True, (rank[1:] != rank[:-1]) | (node[1:] != node[:-1]) | (pos[1:] != pos[:-1])]
-        node, pos, rank = node[fresh], pos[fresh], rank[fresh]
-        same = np.r_[False, rank[1:] == rank[:-1]]
-        keep = same | np.r_[same[1:], False]
-        return pa.Table.from_batches([_packed(_by_node(node[keep], buckets), node[keep], {"pos": pos[keep]})])
+def _double(length: int):
+    """Texts with the representatives that are left -> pairs of ranks at offset GRAM, after (side 1) and before (side 0) each."""
+
+    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for raw, bounds, nodes, rows in _texts(batch, length, seen):
+                gram = ranks(raw, GRAM)
+                pos, text = _known(batch, rows, bounds)
+                for side in (0, 1):
+                    at = bounds[text] + pos - (0 if side else GRAM)
+                    ok = (at >= bounds[text]) & (at + 2 * GRAM <= bounds[text + 1])
+                    n = int(ok.sum())
+                    arrays = [gram[at[ok]].view(np.int64), gram[at[ok] + GRAM].view(np.int64), nodes[text[ok]], pos[ok].astype(np.int32), np.full(n, side, np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["rank", "further", "node", "pos", "side"])
 
-    return repeated
+    return double
 
 
-def _collect(key: tuple, group: pa.Table) -> pa.Table:
-    """The places of each text together."""
-    node, pos = _nodes(group), _values(group, "pos", "<u4")
-    order = np.lexsort((pos, node))
-    node, pos = node[order], pos[order]
-    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    return pa.table({"node": pa.array(node[first], pa.int64()), "places": pa.array([p.tobytes() for p in np.split(pos, first[1:])], pa.binary())})
+def _repeated(ranked: DataFrame, key: list[str], start) -> DataFrame:
+    """The rows of a round whose rank occurs at two different places (node, start) at least."""
+    place = F.xxhash64("node", start)
+    held = ranked.groupBy(*key).agg(F.count("*").alias("_n"), F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b")
+    return spread_join(ranked, held.select(*key, "_n"), key, "_n", ranked.count()).drop("_n")
 
 
 def _stretches(length: int, buckets: int):
-    """Texts with their repeated representatives -> the bytes of the strings that each of them represents."""
+    """Texts with their repeated pairs (places 2 * pos + side) -> the bytes of the strings that each of them represents."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            places = batch.column("places")
-            held: dict[bytes, list[tuple[int, int]]] = {}
-            where: dict[bytes, int] = {}
             for raw, bounds, nodes, rows in _texts(batch, length, seen):
+                held: dict[bytes, list[tuple[int, int]]] = {}
+                where: dict[bytes, int] = {}
                 start, best, gram = representatives(raw, bounds, length)
-                rep = best[start]
-                known = np.concatenate([np.frombuffer(places[r].as_py(), "<u4").astype(np.int64) + b for r, b in zip(rows, bounds[:-1], strict=True)])
-                flag = np.zeros(len(raw), dtype=bool)
-                flag[known] = True
-                # a second representative, of the string's last 128 places, must be repeated too; _deal sends it
-                # from every text that holds the string, as its window of WINDOW bytes ends with the string
-                ok = flag[rep] & flag[best[start + length - WINDOW]]
-                start, rep = start[ok], rep[ok]
+                known, text = _known(batch, rows, bounds)
+                left = np.zeros((2, len(raw)), dtype=bool)
+                left[known % 2, bounds[text] + known // 2] = True
+
+                def pair(rep: np.ndarray, start: np.ndarray) -> np.ndarray:
+                    """The side on which the pair of a representative lies in the string from start."""
+                    return (rep + 2 * GRAM <= start + length).astype(np.int64)
+
+                rep, second = best[start].astype(np.int64), best[start + length - WINDOW].astype(np.int64)
+                side = pair(rep, start)
+                ok = left[side, rep] & left[pair(second, start), second]
+                start, rep, side = start[ok], rep[ok], side[ok]
                 if not len(start):
                     continue
-                head = np.flatnonzero(np.r_[True, (rep[1:] != rep[:-1]) | (start[1:] != start[:-1] + 1)])
+                head = np.flatnonzero(np.r_[True, (rep[1:] != rep[:-1]) | (side[1:] != side[:-1]) | (start[1:] != start[:-1] + 1)])
                 last = np.r_[head[1:], len(start)] - 1
                 text = np.searchsorted(bounds, start[head], side="right") - 1
+                at = rep[head] - GRAM * (1 - side[head])
+                rank = (_pair(gram[at], gram[at + GRAM]) % _U(buckets)).astype(np.int64)
                 whole = raw.tobytes()
-                for a, b, r, t in zip(start[head].tolist(), start[last].tolist(), rep[head].tolist(), text.tolist(), strict=True):
+                for a, b, r, t in zip(start[head].tolist(), start[last].tolist(), rank.tolist(), text.tolist(), strict=True):
                     content = whole[a : b + length]
                     held.setdefault(content, []).append((int(nodes[t]), a - int(bounds[t])))
-                    where[content] = int(gram[r] % _U(buckets))
-            contents = list(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([where[c] for c in contents], pa.int64()), pa.array(contents, pa.binary()), pa.array([np.array(held[c], dtype="<i8").tobytes() for c in contents], pa.binary())],
-                names=["bucket", "content", "places"],
-            )
+                    where[content] = r
+                contents = list(held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([where[c] for c in contents], pa.int64()), pa.array(contents, pa.binary()), pa.array([np.array(held[c], dtype="<i8").tobytes() for c in contents], pa.binary())],
+                    names=["bucket", "content", "places"],
+                )
 
     return stretches
 
 
+def _same_bytes(raw: np.ndarray, pos: np.ndarray, lead: np.ndarray, length: int) -> bool:
+    """Whether the strings at pos equal those at lead. One that follows its neighbour, as lead does, differs in a byte only."""
+    chain = np.r_[False, (pos[1:] == pos[:-1] + 1) & (lead[1:] == lead[:-1] + 1)] & (pos != lead)
+    if (raw[pos + length - 1] != raw[lead + length - 1]).any():
+        return False
+    whole, span = np.flatnonzero(~chain & (pos != lead)), np.arange(length)
+    return all((raw[pos[i][:, None] + span] == raw[lead[i][:, None] + span]).all() for i in np.split(whole, range(4096, len(whole), 4096)))
+
+
 def _matches(length: int, buckets: int):
     """Stretches that may hold equal strings -> repeated strings as spans of their texts, dealt by text."""
 
@@ -215,16 +244,27 @@ def _matches(length: int, buckets: int):
         for content, places in zip(group.column("content"), group.column("places"), strict=True):
             merged.setdefault(content.as_py(), set()).update(map(tuple, np.frombuffer(places.as_py(), "<i8").reshape(-1, 2).tolist()))
         contents = list(merged)
+        raw = np.frombuffer(b"".join(contents), dtype=np.uint8)
         bounds = np.cumsum([0, *map(len, contents)])
         size = np.diff(bounds) - length + 1
-        name = ranks(np.frombuffer(b"".join(contents), dtype=np.uint8), length)
         owner = np.repeat(np.arange(len(contents)), size)
         start = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-        name = name[bounds[owner] + start]
+        pos = bounds[owner] + start
+        half, offset = ranks(raw, 2 * GRAM), length - 2 * GRAM
+        name = _pair(half[pos], half[pos + offset])
+        for exact in (False, True):
+            if exact:  # different bytes had one rank: name strings by their bytes
+                ids: dict[bytes, int] = {}
+                name = np.array([ids.setdefault(raw[p : p + length].tobytes(), len(ids)) for p in pos.tolist()])
+            order = np.argsort(name, kind="stable")
+            first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+            count = np.diff(np.r_[first, len(order)])
+            lead = np.empty(len(pos), dtype=np.int64)
+            lead[order] = np.repeat(pos[order[first]], count)
+            if _same_bytes(raw, pos, lead, length):
+                break
         times = np.array([len(merged[c]) for c in contents])
-        order = np.argsort(name, kind="stable")
-        first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-        total = np.repeat(np.add.reduceat(times[owner[order]], first), np.diff(np.r_[first, len(order)]))
+        total = np.repeat(np.add.reduceat(times[owner[order]], first), count)
         again = np.empty(len(name), dtype=bool)
         again[order] = total > 1
         owner, start = owner[again], start[again]
@@ -258,28 +298,32 @@ def _spans(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(list(out), pa.int64()), "spans": pa.array([np.array(v, dtype="<u4").tobytes() for v in out.values()], pa.binary())})
 
 
-def _small(df: DataFrame, column: str, limit: int) -> DataFrame:
+def _small(df: DataFrame, size, limit: int) -> DataFrame:
     """df for a join with the texts: sent to all tasks where its size, checked here, allows; else the join deals both sides."""
-    size = df.agg(F.sum(F.length(column) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    total = df.agg(F.sum(size + 16)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, broadcast_bytes: int = 64_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, broadcast_bytes: int = 64_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """(node, spans, copies): node = xxhash64 of a text; spans of its repeated bytes as packed pairs; copies for a text that occurs again."""
     if length < WINDOW:
         raise ValueError(f"length must be {WINDOW} bytes at least")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("node"))
     whole = cut(texts.groupBy("node").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(F.col("size") >= length), "texts")
-    total = whole.agg(F.sum("size")).first()[0] or 0
-    share = max(1, -(-total // (65 * 500_000)))
-    dealt = texts.mapInArrow(_deal(length, share), "bucket long, nodes binary, counts binary, pos binary, rank binary")
-    again = dealt.groupBy("bucket").applyInArrow(_repeated(share), "bucket long, nodes binary, counts binary, pos binary")
-    places = cut(again.groupBy("bucket").applyInArrow(_collect, "node long, places binary"), "places")
-    n_places = places.agg(F.sum(F.length("places") / 4)).first()[0] or 0
-    share = max(1, int(n_places * 270 // bucket_bytes))
-    picked = texts.join(_small(places, "places", broadcast_bytes), "node").select("node", "text", "places")
-    stretches = picked.mapInArrow(_stretches(length, share), "bucket long, content binary, places binary")
+
+    def asked(places: DataFrame, place) -> tuple[DataFrame, int]:
+        """The texts that still have places, with those."""
+        per = cut(places.groupBy("node").agg(F.collect_set(place).alias("places")), "places")
+        n = per.agg(F.sum(F.size("places"))).first()[0] or 0
+        return texts.join(_small(per, 4 * F.size("places"), broadcast_bytes), "node").select("node", "text", "places"), n
+
+    ranked = cut(texts.mapInArrow(_deal(length), "rank long, node long, pos int"), "ranks-64")
+    left, _ = asked(_repeated(ranked, ["rank"], F.col("pos")), F.col("pos"))
+    ranked = cut(left.mapInArrow(_double(length), "rank long, further long, node long, pos int, side int"), "ranks-128")
+    left, n = asked(_repeated(ranked, ["rank", "further"], F.col("pos") + GRAM * F.col("side")), 2 * F.col("pos") + F.col("side"))
+    share = max(1, int(n * 270 // bucket_bytes))
+    stretches = left.mapInArrow(_stretches(length, share), "bucket long, content binary, places binary")
     found = stretches.groupBy("bucket").applyInArrow(_matches(length, share), "bucket long, nodes binary, counts binary, pos binary")
     spans = found.groupBy("bucket").applyInArrow(_spans, "node long, spans binary")
     copies = whole.where("n > 1").select("node", F.lit(True).alias("copies"))
@@ -305,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, broadcast_bytes: int = 64
             rows.append((removed, len(pairs), b"".join([*kept, raw[at:]])))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
-    joined = docs.join(_small(spans, "spans", broadcast_bytes), F.xxhash64(text) == F.col("_node"), "left")
+    joined = docs.join(_small(spans, F.length("spans"), broadcast_bytes), F.xxhash64(text) == F.col("_node"), "left")
     gone, some = F.coalesce("copies", F.lit(False)), F.length(F.coalesce("spans", F.lit(b""))) > 0
     own = F.when(some & ~gone, text).otherwise(F.lit(""))
     joined = joined.withColumn("_w", without(own, F.when(some & ~gone, F.col("spans")).otherwise(F.lit(b""))))

@@ -4,8 +4,9 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
 exact, in these steps:
 
 1. One scan gives each document its set size and the fingerprint of its set; documents with equal sets are one node.
-2. Routing. Shingles are dealt by hash with the node that holds them, packed in arrays; a shingle that no other node
-   has is dropped there. A node needs a partner for at least 75 % of its shingles, so most nodes end here. Of the rest,
+2. Routing. Shingles are dealt by a shorter hash with the node that holds them, packed in arrays; one that no other node
+   has is dropped there. A node needs a partner for at least 75 % of its shingles, less those that fell together by the
+   shorter hash, so no link is lost to it and most nodes end here. Of the rest,
    two that link must share one of their rarest shingles (the prefix rule, with a global order by rarity class and
    hash); sharing one makes them neighbours, and connected neighbours form a cluster. No pair is listed: a shingle
    contributes an edge from each holder to its smallest.
@@ -14,19 +15,20 @@ exact, in these steps:
    root against itself drops pairs of subtrees whose largest possible overlap is too small for their sizes, and pairs
    that are one component already; what is left is checked on the sets.
    A cluster above `block` nodes is cut into blocks, joined within, then by one node of each component and block, and
-   last every node outside the cluster's largest component meets all blocks. So a huge group of near copies is linked in
-   linear work, and only what stays apart meets the others.
+   last every node outside the cluster's largest component meets the blocks that hold one of its prefix tokens. So a
+   huge group of near copies is linked in linear work, and only what stays apart meets others.
 4. Links are reduced to spanning edges in the tasks; components over them give component_id.
 
 Defined results. A document of one to four words has its whole sequence as only shingle; one without words has an empty
 set and is its own component. Repeated rows, and copies, are one node, and each row is returned. Rows with a null
-doc_id link as others do; the null is left out of the minimum, so a component of such rows only has a null id. An empty table gives an empty result. Extra columns
-are not read. Shingles and sets are told apart by 64-bit hashes; with 1e9 different texts the chance that any two sets
-are mistaken for one is 3 %.
+doc_id link as others do; the null is left out of the minimum, so a component of such rows only has a null id. Very long
+texts are hashed slice by slice. An empty table gives an empty result. Extra columns are not read. Shingles and sets are
+told apart by 64-bit hashes; with 1e9 different texts the chance that any two sets are mistaken for one is 3 %.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, spread_join
 
 SHINGLE = 5
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 400_000  # texts are hashed in groups of this size, a longer text in slices of it
 _U = np.uint64
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _BASE, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_GAP = re.compile(rb"[ \t-\r]")
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray, salt: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
@@ -53,22 +55,34 @@ def mix(h: np.ndarray, salt: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.r_[_U(1), np.full(max(n, CHUNK_BYTES + 65536), x, dtype=np.uint64)]) for x in (_BASE, _BACK)]
-    return _powers[0], _powers[1]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[_U(1), np.full(n, base, dtype=np.uint64)])
+
+
+def _words(raw: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of raw."""
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True].astype(np.int8)))
+    start, stop = edge[0::2], edge[1::2]
+    up, down = powers if len(raw) < len(powers[0]) else (_powers(_BASE, len(raw)), _powers(_BACK, len(raw)))
+    sums = np.r_[_U(0), np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)])]
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)), start
 
 
 def shingle_sets(texts: list[bytes], n_words: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; white space and letter case of A-Z don't count."""
+    whole = b" ".join(texts)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
-    start, stop = edge[0::2], edge[1::2]
-    up, down = _power(len(raw))
-    sums = np.r_[_U(0), np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)])]
-    word = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    cuts = [0]
+    while cuts[-1] < len(whole):
+        gap = _GAP.search(whole, min(len(whole), cuts[-1] + CHUNK_BYTES))
+        cuts.append(gap.start() if gap else len(whole))
+    most = min(len(whole), CHUNK_BYTES + 4096)
+    powers = _powers(_BASE, most), _powers(_BACK, most)
+    parts = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own, at = _words(np.frombuffer(whole, dtype=np.uint8, count=b - a, offset=a), powers)
+        parts.append((own, at + a))
+    word, start = (np.concatenate(p) for p in zip(*parts, strict=True))
     last = np.searchsorted(start, ends)  # past the last word of each text
     grams = word[: max(0, len(word) - n_words + 1)].copy()
     for j in range(1, n_words):
@@ -78,10 +92,10 @@ def shingle_sets(texts: list[bytes], n_words: int = SHINGLE) -> list[np.ndarray]
         if b - a >= n_words:
             out.append(np.unique(grams[a : b - n_words + 1]))
         elif b > a:
-            whole = np.array([b - a], dtype=np.uint64)
+            short = np.array([b - a], dtype=np.uint64)
             for w in word[a:b]:
-                whole = mix(whole * _BASE + w, 0xD6E8FEB86659FD93)
-            out.append(whole)
+                short = mix(short * _BASE + w, 0xD6E8FEB86659FD93)
+            out.append(short)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
         a = b
@@ -89,15 +103,15 @@ def shingle_sets(texts: list[bytes], n_words: int = SHINGLE) -> list[np.ndarray]
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
-    """Whole texts of a batch in groups of about CHUNK_BYTES: (position of the first, texts)."""
+    """Whole texts of a batch in groups of at most CHUNK_BYTES, or one longer text: (position of the first, texts)."""
     own, size, at = [], 0, 0
     for i, x in enumerate(batch.column(column)):
         t = (x.as_py() or "").encode()
+        if own and size + len(t) >= CHUNK_BYTES:
+            yield at, own
+            own, size, at = [], 0, i
         own.append(t)
         size += len(t)
-        if size >= CHUNK_BYTES:
-            yield at, own
-            own, size, at = [], 0, i + 1
     if own:
         yield at, own
 
@@ -111,11 +125,12 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s for _, texts in chunks(batch) for s in shingle_sets(texts)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["row", "doc_id", "n_shingles", "node"])
+        found = [(len(s), fingerprint(s)) for _, texts in chunks(batch) for s in shingle_sets(texts)]
+        size, node = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())], names=["row", "doc_id", "n_shingles", "node"])
 
 
-# Arrays travel packed: per bucket one row with nodes, their set sizes, how many tokens each has, and the tokens.
+# Arrays travel packed: per bucket one row with nodes, the tokens each needs, how many each has, and the tokens.
 
 
 def _narrow(tokens: np.ndarray, width: int) -> bytes:
@@ -128,37 +143,46 @@ def _widen(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-PACKED = "bucket long, nodes binary, sizes binary, counts binary, tokens binary"
+PACKED = "bucket long, nodes binary, needs binary, counts binary, tokens binary"
 
 
-def _pack(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, token: np.ndarray, width: int) -> pa.RecordBatch:
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal values starts in sorted columns; none where they are empty."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def _pack(bucket: np.ndarray, node: np.ndarray, need: np.ndarray, token: np.ndarray, width: int) -> pa.RecordBatch:
     """Tokens with their node, dealt by bucket."""
     order = np.lexsort((node, bucket))
-    bucket, node, size, token = bucket[order], node[order], size[order], token[order]
-    first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]) if len(node) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, len(node)]).astype("<u4")
-    heads = np.flatnonzero(np.r_[True, bucket[first][1:] != bucket[first][:-1]]) if len(first) else first
+    bucket, node, need, token = bucket[order], node[order], need[order], token[order]
+    first = np.r_[_heads(bucket, node), len(node)]  # each node's tokens in a bucket, and the end
+    count = np.diff(first).astype("<u4")
+    head = _heads(bucket[first[:-1]])
     rows = []
-    for a, b in zip(heads, np.r_[heads[1:], len(first)], strict=True):
-        lo, hi = first[a], first[b] if b < len(first) else len(node)
+    for a, b in zip(head.tolist(), np.r_[head, len(count)][1:].tolist(), strict=True):
         at = first[a:b]
-        rows.append((int(bucket[lo]), node[at].astype("<i8").tobytes(), size[at].astype("<u4").tobytes(), count[a:b].tobytes(), _narrow(token[lo:hi], width)))
+        rows.append((int(bucket[first[a]]), node[at].astype("<i8").tobytes(), need[at].astype("<u4").tobytes(), count[a:b].tobytes(), _narrow(token[first[a] : first[b]], width)))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "nodes", "sizes", "counts", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "nodes", "needs", "counts", "tokens"])
 
 
 def _unpack(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    node, size, token = [], [], []
-    for n, s, c, t in zip(*[group.column(x).to_pylist() for x in ("nodes", "sizes", "counts", "tokens")], strict=True):
-        count = np.frombuffer(c, "<u4")
-        node.append(np.repeat(np.frombuffer(n, "<i8"), count))
-        size.append(np.repeat(np.frombuffer(s, "<u4"), count))
-        token.append(_widen(t, width))
-    return np.concatenate(node), np.concatenate(size), np.concatenate(token)
+    node, need, token = [], [], []
+    for n, s, c, t in zip(*[group.column(x) for x in ("nodes", "needs", "counts", "tokens")], strict=True):
+        count = np.frombuffer(c.as_py(), "<u4")
+        node.append(np.repeat(np.frombuffer(n.as_py(), "<i8"), count))
+        need.append(np.repeat(np.frombuffer(s.as_py(), "<u4"), count))
+        token.append(_widen(t.as_py(), width))
+    return np.concatenate(node), np.concatenate(need), np.concatenate(token)
 
 
 def _deal(buckets: int, width: int, bits: int):
-    """Scan: every distinct set of a task once, its tokens (cut to `bits` bits) dealt into buckets."""
+    """Scan: every distinct set of a task once, its tokens (cut to `bits` bits) dealt into buckets.
+
+    A node needs 75 % of its tokens; tokens that are one after the cut are taken off, so that no link is lost by it.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,11 +193,12 @@ def _deal(buckets: int, width: int, bits: int):
                     f = fingerprint(s)
                     if len(s) and f not in seen:
                         seen.add(f)
-                        own.append((f, s))
+                        short = np.unique(s & _U((1 << bits) - 1))
+                        own.append((f, -(-3 * len(s) // 4) - (len(s) - len(short)), short))
                 if own:
-                    n = np.array([len(s) for _, s in own])
-                    token = np.concatenate([s for _, s in own]) & _U((1 << bits) - 1)
-                    yield _pack((token % _U(buckets)).astype(np.int64), np.repeat(np.array([f for f, _ in own]), n), np.repeat(n, n), token, width)
+                    n = np.array([len(s) for *_, s in own])
+                    token = np.concatenate([s for *_, s in own])
+                    yield _pack((token % _U(buckets)).astype(np.int64), np.repeat(np.array([f for f, *_ in own]), n), np.repeat(np.maximum([k for _, k, _ in own], 1), n), token, width)
 
     return deal
 
@@ -182,33 +207,32 @@ def _shared(buckets: int, width: int, bits: int):
     """A bucket of tokens -> those held by two nodes at least, with their rarity class on top, dealt by node."""
 
     def shared(key: tuple, group: pa.Table) -> pa.Table:
-        node, size, token = _unpack(group, width)
+        node, need, token = _unpack(group, width)
         order = np.lexsort((node, token))
-        node, size, token = node[order], size[order], token[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        node, size, token = node[fresh], size[fresh], token[fresh]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        held = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)]))
+        node, need, token = node[order], need[order], token[order]
+        fresh = _heads(token, node)
+        node, need, token = node[fresh], need[fresh], token[fresh]
+        times = np.diff(np.r_[_heads(token), len(token)])
+        held = np.repeat(times, times)
         keep = held > 1
-        node, size, token, held = node[keep], size[keep], token[keep], held[keep]
+        node, need, token, held = node[keep], need[keep], token[keep], held[keep]
         rank = np.minimum(np.log2(held).astype(np.uint64), _U(15)) << _U(bits) | token
-        return pa.Table.from_batches([_pack((mix(node.view(np.uint64)) % _U(buckets)).astype(np.int64), node, size, rank, width)])
+        return pa.Table.from_batches([_pack((mix(node.view(np.uint64)) % _U(buckets)).astype(np.int64), node, need, rank, width)])
 
     return shared
 
 
 def _prefix(width: int):
-    """Nodes with at least 75 % shared tokens -> the tokens of which two that link must share one."""
+    """Nodes with enough shared tokens -> the tokens of which two that link must share one."""
 
     def prefix(key: tuple, group: pa.Table) -> pa.Table:
-        node, size, token = _unpack(group, width)
+        node, need, token = _unpack(group, width)
         order = np.lexsort((token, node))
-        node, size, token = node[order], size[order], token[order]
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        node, need, token = node[order], need[order], token[order]
+        first = _heads(node)
         count = np.diff(np.r_[first, len(node)])
         place = np.arange(len(node)) - np.repeat(first, count)
-        need = -(-3 * size[first].astype(np.int64) // 4)
-        keep = place < np.repeat(count - need + 1, count)
+        keep = place < np.repeat(count - need[first].astype(np.int64) + 1, count)
         return pa.table({"token": pa.array(token[keep].view(np.int64)), "node": pa.array(node[keep])})
 
     return prefix
@@ -309,11 +333,6 @@ def link_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right
 
     if len(left) == 0 or (right is not None and len(right) == 0):
         return links
-    if right is None and len(left) <= 3:
-        for k, i in enumerate(left):
-            for j in left[k + 1 :]:
-                check(i, j)
-        return links
     if right is None:
         for i, j in zip(left[:-1], left[1:], strict=True):  # neighbours share their smallest token: likely copies
             check(i, j)
@@ -361,66 +380,64 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*docs.columns, *[F.isnull(c) for c in docs.columns])
 
 
-def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, block: int = 2048, bucket_tokens: int = 500_000, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     out = linked_rows(docs.select("doc_id", "text"), block, bucket_tokens, broadcast_rows)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-def linked_rows(docs: DataFrame, block: int = 2048, bucket_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+def linked_rows(docs: DataFrame, block: int = 2048, bucket_tokens: int = 500_000, broadcast_rows: int = 200_000) -> DataFrame:
     """row (its row_key), doc_id, n_shingles, component_id of every row of docs, and component, which names the
     component by a node where the set isn't empty, so also where no row has an id."""
     spark = docs.sparkSession
     docs = docs.select(row_key(docs).alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(docs.mapInArrow(_measure, f"row long, doc_id {kind}, n_shingles long, node long"), "sets")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("row").alias("pick"))
+    some = rows.where("n_shingles > 0")
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("pick"), F.count("*").alias("_rows"))
 
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    total, n_rows = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-total // bucket_tokens))
-    width = 6 if total < 1 << 34 else 8
+    width = 6 if total < 1 << 34 else 8  # any width finds all links; a wider one forms fewer chance neighbours
     bits = 8 * width - 4
     dealt = docs.select("text").mapInArrow(_deal(buckets, width, bits), PACKED)
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets, width, bits), PACKED)
-    keys = shared.groupBy("bucket").applyInArrow(_prefix(width), "token long, node long")
-    keys = cut(keys, "prefixes")
-    least = keys.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1")
-    near = keys.join(least, "token").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    clusters = components(near).withColumnRenamed("component", "cluster")
-
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    wanted = clusters.join(sizes, "cluster").join(nodes, "node")
-    wanted = cut(wanted.select(F.col("pick").alias("_pick"), F.col("node").alias("_node"), "n", "cluster", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "clusters")
-    n_wanted = wanted.count()
-    sets = None
+    keys = cut(shared.groupBy("bucket").applyInArrow(_prefix(width), "token long, node long"), "prefixes")
+    least = keys.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("_n")).where("_n > 1")
+    near = spread_join(keys, least, ["token"], "_n", keys.count()).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    clusters = cut(components(near).withColumnRenamed("component", "cluster"), "clusters")
+
+    n_wanted = clusters.count()
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"))
+    wanted = spread_join(clusters, sizes, ["cluster"], "_n", n_wanted).join(nodes, "node")
+    wanted = cut(wanted.select(F.col("pick").alias("_pick"), F.col("node").alias("_node"), "cluster", F.ceil(F.col("_n") / block).cast("int").alias("blocks")), "wanted")
+    labels = spark.createDataFrame([], "node long, component long")
     if n_wanted:
         asked = F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted
         picked = docs.join(asked, docs["row"] == F.col("_pick")).select("text", "_node", "cluster", "blocks")
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [s for _, texts in chunks(batch) for s in shingle_sets(texts)]
-                right = pa.array([fingerprint(s) == n for s, n in zip(own, batch.column("_node").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("cluster"), batch.column("blocks"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "cluster", "blocks", "tokens"]).filter(right)
+                for at, texts in chunks(batch):
+                    part, own = batch.slice(at, len(texts)), shingle_sets(texts)
+                    right = pa.array([fingerprint(s) == n for s, n in zip(own, part.column("_node").to_pylist(), strict=True)], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column("_node"), part.column("cluster"), part.column("blocks"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "cluster", "blocks", "tokens"]).filter(right)
 
         # rows that are equal throughout have one key; they are dropped here
         sets = picked.mapInArrow(tokens, "node long, cluster long, blocks int, tokens binary").dropDuplicates(["node"])
         sets = cut(sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "cluster-sets")
-    edges = _edges(sets, max(1, n_wanted // 4000))
-    if edges is None:
-        labels = spark.createDataFrame([], "node long, component long")
-    else:
-        labels = components(edges)
-    top = labels.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    per = nodes.join(labels, "node", "left").join(top, "component", "left").select(F.col("node").alias("_node"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(per, (F.col("n_shingles") > 0) & (F.col("node") == F.col("_node")), "left")
-    return out.select("row", "doc_id", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _edges(sets: DataFrame | None, groups: int) -> DataFrame | None:
-    """Spanning links of all clusters, in the rounds of step 3."""
-    if sets is None:
-        return None
+        labels = cut(components(_edges(sets, keys, max(1, n_wanted // 2000))), "labels")
+    top = labels.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n"))
+    joined = spread_join(labels, top, ["component"], "_n", labels.count()).drop("_n")
+    per = nodes.select("node", "rep", "_rows").join(joined, "node", "left")
+    per = per.select("node", "_rows", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    out = spread_join(some, per, ["node"], "_rows", n_rows).select("row", "doc_id", "n_shingles", "component", "component_id")
+    alone = rows.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def _edges(sets: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
+    """Spanning links of all clusters, in the rounds of step 3; keys are the prefix tokens of nodes."""
     task = F.when(F.col("blocks") > 1, F.struct(F.col("cluster").alias("c"), F.col("block").alias("b"))).otherwise(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("c"), F.lit(-1).alias("b")))
     cols = ["node", "cluster", "tokens"]
 
@@ -431,27 +448,31 @@ def _edges(sets: DataFrame | None, groups: int) -> DataFrame | None:
     large = sets.where("blocks > 1")
     if large.isEmpty():
         return edges
-    for last in (False, True):
+
+    def classed() -> DataFrame:
         label = components(edges).withColumnRenamed("component", "_c")
-        known = large.join(label, "node", "left").withColumn("cls", F.coalesce("_c", "node")).drop("_c")
-        if not last:  # one node of each component and block; as many tasks as the cluster has blocks' worth of them
-            heads = known.groupBy("cluster", "block", "cls").agg(F.min_by(F.struct("node", "tokens"), "node").alias("h"))
-            slot = F.struct(F.col("cluster").alias("c"), F.lit(-2).alias("b"))
-            heads = heads.select("h.node", "cluster", "h.tokens", slot.alias("task"), F.lit(0).alias("side"), "cls")
-            many = heads.groupBy("cluster").agg(F.count("*").alias("m"))
-            heads = heads.join(many, "cluster").withColumn("task", F.struct(F.col("cluster").alias("c"), (F.lit(-2) - F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / 4096)).cast("int")).alias("b")))
-            more = run(heads.drop("m"), "links-heads")
-        else:
-            counts = known.groupBy("cluster", "cls").agg(F.count("*").alias("m"))
-            largest = counts.groupBy("cluster").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"))
-            apart = known.join(largest, "cluster").where("cls <> main")
-            meets = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            own = F.struct(F.col("cluster").alias("c"), F.col("block").alias("b")).alias("task")
-            both = known.select(*cols, own, F.lit(0).alias("side"), "cls").unionByName(meets.select(*cols, own, F.lit(1).alias("side"), "cls"))
-            more = run(both, "links-rest") if not apart.isEmpty() else None
-        if more is not None:
-            edges = edges.unionByName(more)
-    return edges
+        return large.join(label, "node", "left").withColumn("cls", F.coalesce("_c", "node")).drop("_c")
+
+    # one node of each component and block; as many tasks as the cluster has blocks' worth of them
+    heads = classed().groupBy("cluster", "block", "cls").agg(F.min_by(F.struct("node", "tokens"), "node").alias("h"))
+    many = heads.groupBy("cluster").agg(F.ceil(F.count("*") / 4096).cast("int").alias("m"))
+    heads = heads.join(F.broadcast(many), "cluster")  # clusters of more than a block only: fewer than nodes / block
+    slot = F.struct(F.col("cluster").alias("c"), (F.lit(-2) - F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")).alias("b"))
+    edges = edges.unionByName(run(heads.select("h.node", "cluster", "h.tokens", slot.alias("task"), F.lit(0).alias("side"), "cls"), "links-heads"))
+
+    # what is not of the cluster's largest component meets the blocks that hold one of its prefix tokens
+    known = cut(classed(), "classed")
+    counts = known.groupBy("cluster", "cls").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("cluster").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"))
+    apart = known.join(F.broadcast(largest), "cluster").where("cls <> main").drop("main", "block")
+    if apart.isEmpty():
+        return edges
+    where = keys.join(known.select("node", "block"), "node").groupBy("token").agg(F.collect_set("block").alias("at"))
+    asks = keys.join(apart.select("node"), "node").join(where, "token").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    meets = apart.join(asks, "node").withColumn("block", F.explode("at"))
+    own = F.struct(F.col("cluster").alias("c"), F.col("block").alias("b")).alias("task")
+    both = known.select(*cols, own, F.lit(0).alias("side"), "cls").unionByName(meets.select(*cols, own, F.lit(1).alias("side"), "cls"))
+    return edges.unionByName(run(both, "links-rest"))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ class Toxicity:
 class Scorer:
     """A trained model by what each bucket adds to the logit; words it has met are kept in a bounded memo."""
 
-    def __init__(self, model: Toxicity, memo: int = 300_000):
+    def __init__(self, model: Toxicity, memo: int = 50_000):
         self.model, self.memo, self.known = model, memo, {}
         self.linear = model.vectors @ (model.out[1] - model.out[0])
         self.bias = float(model.bias[1] - model.bias[0])
