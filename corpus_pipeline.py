@@ -19,19 +19,24 @@ from storyline.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the model learned from labels predicts as toxic go. Null and empty texts stay unless the bias alone says
+    toxic; without labelled rows of both kinds all stay. Equal texts are judged alike; extra columns stay."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that are kept elsewhere; a text may end empty. A null text becomes an empty one only
+    if it loses lines, so it stays null. n_chars, where there is one, follows the text; other columns stay."""
     out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, and of several such the smallest row key."""
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, and of several such the smallest row key. Rows without an
+    id come after all others; rows without words stay, all of them. Extra columns count as parts of the row key."""
     each = linked_rows(docs).where("n_shingles > 0").groupBy("row", "component").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     each = cut(each, "rows")
     first = each.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("least"))
@@ -48,10 +53,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcas
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them (0 to 2 times). A null source is one source; rows without words are of size 0
+    and follow their block. Extra columns stay, whatever their names."""
     return mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of each row; a null or empty text is one piece of the end id. Columns other than doc_id and text end here."""
     return pack(docs)
 
 
