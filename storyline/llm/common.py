@@ -43,10 +43,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: later readers repeat no work, lost executors lose no data."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return cut_at(df, shared_path(df.sparkSession, name))
+
+
+def cut_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that cut_at() wrote and nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,25 +83,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ever gathered. Self-loops and repeated edges are fine; an empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int, hub: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
-        hit = spread_join(both, least, ["a"], "_n", 2 * total if large else total)
+        hit = spread_join(both, least, ["a"], "_n", 2 * total if large else total) if hub else both.join(least, "a")
         if large:
             return hit.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         moved = hit.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    kind = edges.schema["a"].dataType
+    spark, kind, written = edges.sparkSession, edges.schema["a"].dataType, []
+
+    def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+        written.append(shared_path(spark, "edges"))
+        return cut_at(df.coalesce(files) if files else df, written[-1])
+
     e = edges.select(F.greatest("a", "b").cast(kind).alias("a"), F.least("a", "b").cast(kind).alias("b"))
-    e = cut(e.where("a <> b").distinct(), "edges")
+    e = stored(e.where("a <> b").distinct())
     for _ in range(max_rounds):
         # done once every node has one edge or is the end of others' edges, but not both
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
-        total, left = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 or (up = 1 and least = 0)"))).first()
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"), F.count("*").alias("n"))
+        left = F.count_if(F.expr("up > 1 or (up = 1 and least = 0)"))
+        total, left, most = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), left, F.coalesce(F.max("n"), F.lit(0))).first()
+        while len(written) > 1:
+            remove(spark, written.pop(0))
         if not left:
             out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
-        e = cut(star(cut(star(e, True, total), "stars"), False, total), "edges")
+        files, hub = total // 500_000 + 1, most > 500 and most * 500 > total
+        e = stored(star(stored(star(e, True, total, hub), files), False, total, hub), files)
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

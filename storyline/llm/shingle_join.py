@@ -426,7 +426,7 @@ def linked_rows(docs: DataFrame, block: int = 2048, bucket_tokens: int = 500_000
         # rows that are equal throughout have one key; they are dropped here
         sets = picked.mapInArrow(tokens, "node long, cluster long, blocks int, tokens binary").dropDuplicates(["node"])
         sets = cut(sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "cluster-sets")
-        labels = cut(components(_edges(sets, keys, max(1, n_wanted // 2000))), "labels")
+        labels = cut(_labels(sets, keys, max(1, n_wanted // 2000)), "labels")
     top = labels.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n"))
     joined = spread_join(labels, top, ["component"], "_n", labels.count()).drop("_n")
     per = nodes.select("node", "rep", "_rows").join(joined, "node", "left")
@@ -436,8 +436,8 @@ def linked_rows(docs: DataFrame, block: int = 2048, bucket_tokens: int = 500_000
     return out.unionByName(alone)
 
 
-def _edges(sets: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
-    """Spanning links of all clusters, in the rounds of step 3; keys are the prefix tokens of nodes."""
+def _labels(sets: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
+    """(node, component) of all clusters by the rounds of step 3; keys are the prefix tokens of nodes."""
     task = F.when(F.col("blocks") > 1, F.struct(F.col("cluster").alias("c"), F.col("block").alias("b"))).otherwise(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("c"), F.lit(-1).alias("b")))
     cols = ["node", "cluster", "tokens"]
 
@@ -445,12 +445,14 @@ def _edges(sets: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
         return cut(rows.groupBy("task").applyInPandas(_link_task, "a long, b long"), name)
 
     edges = run(sets.select(*cols, task.alias("task"), F.lit(0).alias("side"), F.col("node").alias("cls")), "links")
+    labels = components(edges)
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return edges
+        return labels
+    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     def classed() -> DataFrame:
-        label = components(edges).withColumnRenamed("component", "_c")
+        label = labels.withColumnRenamed("component", "_c")
         return large.join(label, "node", "left").withColumn("cls", F.coalesce("_c", "node")).drop("_c")
 
     # one node of each component and block; as many tasks as the cluster has blocks' worth of them
@@ -458,21 +460,27 @@ def _edges(sets: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
     many = heads.groupBy("cluster").agg(F.ceil(F.count("*") / 4096).cast("int").alias("m"))
     heads = heads.join(F.broadcast(many), "cluster")  # clusters of more than a block only: fewer than nodes / block
     slot = F.struct(F.col("cluster").alias("c"), (F.lit(-2) - F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")).alias("b"))
-    edges = edges.unionByName(run(heads.select("h.node", "cluster", "h.tokens", slot.alias("task"), F.lit(0).alias("side"), "cls"), "links-heads"))
+    more = run(heads.select("h.node", "cluster", "h.tokens", slot.alias("task"), F.lit(0).alias("side"), "cls"), "links-heads")
+    if not more.isEmpty():
+        stars = stars.unionByName(more)
+        labels = components(stars)
 
     # what is not of the cluster's largest component meets the blocks that hold one of its prefix tokens
     known = cut(classed(), "classed")
     counts = known.groupBy("cluster", "cls").agg(F.count("*").alias("m"))
     largest = counts.groupBy("cluster").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"))
-    apart = known.join(F.broadcast(largest), "cluster").where("cls <> main").drop("main", "block")
+    apart = cut(known.join(F.broadcast(largest), "cluster").where("cls <> main").drop("main", "block"), "apart")
     if apart.isEmpty():
-        return edges
+        return labels
+    asked = cut(keys.join(apart.select("node"), "node"), "apart-keys")
     where = keys.join(known.select("node", "block"), "node").groupBy("token").agg(F.collect_set("block").alias("at"))
-    asks = keys.join(apart.select("node"), "node").join(where, "token").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    meets = apart.join(asks, "node").withColumn("block", F.explode("at"))
+    where = where.join(asked.groupBy("token").agg(F.count("*").alias("_n")), "token")
+    meets = spread_join(asked, where, ["token"], "_n", asked.count()).select("node", F.explode("at").alias("block")).distinct()
+    meets = apart.join(meets, "node")
     own = F.struct(F.col("cluster").alias("c"), F.col("block").alias("b")).alias("task")
     both = known.select(*cols, own, F.lit(0).alias("side"), "cls").unionByName(meets.select(*cols, own, F.lit(1).alias("side"), "cls"))
-    return edges.unionByName(run(both, "links-rest"))
+    more = run(both, "links-rest")
+    return labels if more.isEmpty() else components(stars.unionByName(more))
 
 
 def op2(docs: DataFrame) -> DataFrame:
