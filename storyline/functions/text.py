@@ -144,3 +144,21 @@ def ratio_at_least(threshold: float, autojunk: bool = True):
             yield out
 
     return ratio
+
+
+def ratio_above():
+    """pandas_udf (a, b, bound) -> the sequence ratio, or 0 where an upper bound of it is below the row's bound or a text is null."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series, bound: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=a.index)
+        for text, rows in b.dropna().groupby(b, sort=False):
+            m = SequenceMatcher(None, "", text)
+            for i in rows.index:
+                if a[i] is not None:
+                    m.set_seq1(a[i])
+                    if m.real_quick_ratio() >= bound[i] and m.quick_ratio() >= bound[i]:
+                        out[i] = m.ratio()
+        return out
+
+    return ratio

@@ -73,7 +73,7 @@ def impact_lists(own: Column, kind: Column, found: Column, fix_prefix: bool = Fa
     none = F.array().cast("array<string>")
     actors = []
     for side in (0, 1):
-        pairs = [x for s, both in SECTOR_ACTORS.items() for x in (F.lit(s), F.array(*[F.lit(f"SECTOR [{s}]: {a}") for a in both[side].split("|")]))]
+        pairs = [x for s, both in SECTOR_ACTORS.items() for x in (F.lit(s), F.array(*[F.lit(f"SECTOR [{s}]: {a}") for a in both[side]]))]
         actors.append(_lookup(F.create_map(*pairs), found))
     out = []
     for i, k in enumerate(LISTS):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_time, readable
@@ -46,3 +46,32 @@ def unified(nodes: DataFrame, edges: DataFrame, impact: DataFrame, signals: Data
     event = F.struct("entity", "event_type", label_of(F.col("event_type"), EVENT_LABELS, F.lit("Development / Update")).alias("event_type_label"), label_of(F.col("impact_type"), IMPACT_LABELS, F.coalesce("impact_type", F.lit(""))).alias("impact_label"), readable(F.col("description")).alias("description"), iso_time(F.col("timestamp")).alias("timestamp"))
     out = nodes.select(F.col("id").alias("node_id"), event.alias("event")).join(connections(nodes, edges, 5), "node_id", "left").join(impact_report(nodes, impact).withColumn("impact", F.struct("available", *LISTS)).select("node_id", "impact"), "node_id", "left")
     return out.join(own, "node_id", "left").join(confidence_summary(nodes, impact, signals), "node_id", "left")
+
+
+def signal_parts(phrase: Column) -> Column:
+    """Struct (strength, keyword) of a signal text such as `[STRONG] crisis (sources 3)`; without a label the whole is the keyword."""
+    rest = F.trim(F.regexp_replace(phrase, r"^\[[^\]]*\]", ""))
+    labelled = F.rlike(phrase, F.lit(r"^\[[^\]]*\]"))
+    strength = F.when(labelled, F.trim(F.regexp_extract(phrase, r"^\[([^\]]*)\]", 1))).otherwise("unknown")
+    keyword = F.when(F.locate("(", rest) > 1, F.trim(F.substring_index(rest, "(", 1))).otherwise(rest)
+    return F.struct(strength.alias("strength"), F.when(labelled, keyword).otherwise(phrase).alias("keyword"))
+
+
+def signal_report(signals: DataFrame) -> DataFrame:
+    """A row a signal with its strength and keyword read out of its text, and its place among its node's, the surest first."""
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("confidence_score"), "signal_type", "phrase"))
+    part = signal_parts(F.coalesce("phrase", F.lit("")))
+    return signals.select("node_id", place.alias("place"), "signal_type", part["strength"].alias("strength"), part["keyword"].alias("keyword"), F.coalesce("entity", F.lit("")).alias("entity"), "source_count", "time_span", "confidence_score")
+
+
+def timeline_report(nodes: DataFrame, timeline: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """The entries of every timeline group by position, each with its `most` surest outgoing edges and the group's size."""
+    place = F.row_number().over(Window.partitionBy("from_node_id").orderBy(F.desc("confidence_score"), "to_node_id"))
+    best = edges.withColumn("_n", place).where(F.col("_n") <= most)
+    item = F.struct("_n", F.col("to_node_id").alias("target_node_id"), F.col("relation_type").alias("relation"), F.col("confidence_score").alias("confidence"))
+    best = best.groupBy(F.col("from_node_id").alias("node_id")).agg(F.sort_array(F.collect_list(item)).alias("causal_connections"))
+    kind = F.coalesce("event_type", F.lit("update"))
+    own = nodes.select(F.col("id").alias("node_id"), F.coalesce("entity", F.lit("")).alias("entity"), kind.alias("event_type"), label_of(F.col("event_type"), EVENT_LABELS, F.lit("Update")).alias("event_label"), readable(F.col("description")).alias("description"), iso_time(F.col("timestamp")).alias("timestamp"), "is_anchor")
+    sizes = timeline.groupBy("timeline_group_id").agg(F.count("*").alias("total_events"))
+    entries = timeline.select("timeline_group_id", "node_id", F.col("position_index").alias("position"))
+    return entries.join(own, "node_id").join(best, "node_id", "left").join(sizes, "timeline_group_id")

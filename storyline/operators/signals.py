@@ -67,9 +67,14 @@ def detect_signals(nodes: DataFrame, spans: DataFrame, as_of: Column) -> DataFra
 
 
 def upsert_signals(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """The newest phrase and span, and the larger source count and confidence, by (node_id, entity, signal_type, word of the phrase)."""
+    """The newest phrase and span, and the larger source count and confidence, by (node_id, entity, signal_type, word of the phrase).
+
+    A null in the key equals a null."""
     word = lambda c: F.regexp_extract(c, r"^\[[^\]]*\]\s*([^(]*?)\s*(?:\(|$)", 1)
     key = ["node_id", "entity", "signal_type", "_word"]
     a, b = stored.withColumn("_word", word("phrase")).alias("a"), new.withColumn("_word", word("phrase")).alias("b")
     cols = [F.coalesce("b.phrase", "a.phrase").alias("phrase"), F.coalesce("b.time_span", "a.time_span").alias("time_span"), F.greatest("a.source_count", "b.source_count").alias("source_count"), F.greatest("a.confidence_score", "b.confidence_score").alias("confidence_score")]
-    return a.join(b, key, "full").select(*key[:-1], *cols)
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same, "full").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key[:-1]], *cols)

@@ -1,29 +1,70 @@
-"""The whole run: articles to kept articles, clusters, nodes, timeline, impact and signals, as one chain of tables."""
+"""The whole run: articles to kept articles, clusters, nodes, timeline, expansion, impact, signals and checks, as one chain of tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.articles import cluster_articles, cluster_keys, main_topics, new_articles, preprocess
+from ..functions.text import keywords
+from ..operators.articles import cluster_articles, cluster_keys, keyed, main_topics, match_stored, new_articles, normalized_input, preprocess, profiles
+from ..operators.expand import contexts, expand, nodes_for
 from ..operators.graph import settled
 from ..operators.impact import analyze
+from ..operators.quality import checks, health
 from ..operators.signals import cluster_span, detect_signals
 from ..operators.timeline import build_nodes, build_timeline
 
+STEPS = ("ingestion", "preprocessing", "clustering", "timeline", "expansion", "impact", "signals")
 
-def run_pipeline(rows: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """Tables by name from article rows (id, title, content, source, url, published_at, created_at)."""
+
+def run_pipeline(rows: DataFrame, as_of: str, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Tables by name from article rows (id, title, content, source, url, published_at, created_at).
+
+    stored: tables of an earlier run; articles whose key it holds are left out, and new ones join its clusters where they
+    match. `steps` has a row a step with its counters, `validation` a row a check and `health` their sum.
+    """
     now = F.to_timestamp(F.lit(as_of))
-    raw = settled(new_articles(rows), "raw")
+    before = stored or {}
+    raw = settled(new_articles(rows, before.get("raw_news")), "raw")
     cleaned = settled(preprocess(raw), "cleaned")
-    members = settled(cluster_articles(cleaned), "members")
-    articles = settled(cleaned.join(members, "id"), "articles")
+    old = before.get("articles")
+    matched = None
+    if old is not None:
+        items = cleaned.select("id", "normalized_text", keywords(F.concat_ws(" ", "title", "normalized_text")).alias("words"))
+        matched = settled(match_stored(items, settled(profiles(old), "profiles")).select("id", "cluster_id"), "matched")
+    fresh = cleaned if matched is None else cleaned.join(matched, "id", "left_anti")
+    members = cluster_articles(fresh)
+    members = settled(members if matched is None else members.unionByName(matched), "members")
+    articles = cleaned.join(members, "id")
+    articles = settled(articles if old is None else old.unionByName(articles), "articles")
     topics = settled(main_topics(articles).join(cluster_keys(articles), "cluster_id"), "topics")
     nodes, edges, timeline = build_timeline(settled(build_nodes(articles, topics, now), "nodes"))
-    nodes = settled(nodes, "nodes")
+    nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
+    about = settled(contexts(articles).join(topics, "cluster_id"), "contexts")
+    grown = settled(expand(nodes.select("cluster_id"), about, nodes, edges).drop("from_cluster", "to_cluster"), "expansion")
+    extra = nodes_for(about, nodes, now)
+    nodes = settled(nodes.unionByName(extra, allowMissingColumns=True), "nodes")
     text = F.concat_ws(" ", "event_type", "entity", "description")
-    impact = analyze(nodes.drop("confidence_score"), text)
-    signals = detect_signals(nodes, cluster_span(articles), now)
-    nodes = nodes.join(impact.select("id", "impact_type"), "id", "left")
-    return {"raw_news": raw, "cleaned_news": cleaned, "event_clusters": topics, "cluster_news_map": members, "nodes": nodes, "edges": settled(edges, "edges"), "timeline": timeline, "impact": impact.withColumnRenamed("id", "node_id"), "signals": signals}
+    impact = settled(analyze(nodes.drop("confidence_score", "impact_type"), text).withColumnRenamed("id", "node_id"), "impact")
+    signals = settled(detect_signals(nodes, cluster_span(articles), now), "signals")
+    nodes = nodes.drop("impact_type").join(impact.select(F.col("node_id").alias("id"), "impact_type"), "id", "left")
+    out = {
+        "raw_news": raw, "cleaned_news": cleaned.withColumn("raw_news_id", F.col("id")), "event_clusters": topics.withColumn("id", F.col("cluster_id")),
+        "cluster_news_map": members.withColumn("cleaned_news_id", F.col("id")), "articles": articles, "nodes": nodes,
+        "edges": edges.unionByName(grown.where("to_node_id is not null")), "timeline": timeline, "impact": impact, "signals": signals,
+    }
+    valid = keyed(normalized_input(rows))
+    counted = {
+        "ingestion": {"fetched": rows, "valid": valid, "inserted": raw}, "preprocessing": {"inserted": cleaned},
+        "clustering": {"clusters": topics, "mapped": members, **({"merged_to_existing": matched} if matched is not None else {})},
+        "timeline": {"nodes": nodes, "edges": edges}, "expansion": {"edges": grown}, "impact": {"rows": impact}, "signals": {"rows": signals},
+    }
+    report = None
+    for place, step in enumerate(STEPS):
+        for name, df in counted[step].items():
+            own = df.agg(F.count("*").alias("n")).select(F.lit(place).alias("place"), F.lit(step).alias("step"), F.lit(name).alias("counter"), "n")
+            report = own if report is None else report.unionByName(own)
+    out["steps"] = report
+    out["validation"] = settled(checks(out), "validation")
+    out["health"] = health(out["validation"])
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .functions import text as T
 from .lexicons import CUES, EVENT_KEYWORDS, EVENT_TYPES, HEADLINE_STOPWORDS, KEYWORD_STOPWORDS, NEGATIVE, POSITIVE, SECTOR_KEYWORDS, SIGNAL_PHRASES
 from .news import AS_OF, NEWS_SQL, news
@@ -178,7 +179,7 @@ def node_signals(s, d) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: globals()[k] for k in (
+    return store_queries.queries() | {k: globals()[k] for k in (
         "signal_strength", "article_keys", "clean_articles", "page_sources", "headline_tokens", "article_keywords", "exact_headlines", "new_rows", "similarity_pairs", "signal_phrases",
         "impact_types", "impact_lists", "event_types", "entities", "stated_causes", "cluster_stats", "cluster_topics", "cluster_titles", "keyword_overlaps", "kept_articles", "timeline_order",
         "causal_edges", "event_search", "node_signals",
@@ -195,6 +196,10 @@ def _ranked(lexicon) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return store_queries.oracle_sql() | _news_sql()
+
+
+def _news_sql() -> dict[str, str]:
     kind_hits = "CASE impact_type " + " ".join(f"WHEN '{k}' THEN {_hits('terms', w.split())}" for k, w in EVENT_KEYWORDS.items()) + " END"
     return {
         "signal_strength": _q("""SELECT entity, signal_type, phrase, frequency, s AS confidence_score, CASE WHEN s >= 0.6 THEN 'STRONG' WHEN s >= 0.35 THEN 'MEDIUM' ELSE 'WEAK' END AS strength, strftime(a, '%Y-%m-%d') || '->' || strftime(b, '%Y-%m-%d') AS time_span,

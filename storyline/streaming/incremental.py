@@ -19,10 +19,15 @@ def ingest_available(spark: SparkSession, incoming: str, schema: str, table: str
     def append(batch: DataFrame, _: int) -> None:
         try:
             stored = spark.read.parquet(table)
-        except AnalysisException:  # nothing stored yet
-            stored = None
-        rows = batch.withColumn("id", F.monotonically_increasing_id()) if "id" not in batch.columns else batch
-        new_articles(rows, stored).write.mode("append").parquet(table)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = None  # nothing stored yet
+        if "id" in batch.columns:
+            rows = new_articles(batch, stored)
+        else:  # the id of an article is a hash of its key, the same in every batch
+            rows = new_articles(batch.withColumn("id", F.lit(0).cast("long")), stored).withColumn("id", F.xxhash64("unique_id"))
+        rows.write.mode("append").parquet(table)
 
     query = spark.readStream.schema(schema).parquet(incoming).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -10,6 +10,7 @@ from storyline.functions import text as T
 from storyline.lexicons import ENTITIES, SIGNAL_PHRASES
 from storyline.operators import articles, graph, impact, quality, reports, search, signals, timeline
 from storyline.operators.expand import expand
+from storyline.plans.pipeline import run_pipeline
 from storyline.schemas import TABLES
 from storyline.sources.feeds import read_feed
 from storyline.streaming.incremental import ingest_available
@@ -78,13 +79,93 @@ def test_causes_and_entities(spark):
     assert rows[2]["p"]["event"] == "due to rain"
 
 
-def test_edge_chain_rules():
-    at = datetime(2024, 1, 2)
-    to = {"id": 2, "description": "EVENT: border war in iran\nPREDECESSOR: N/A", "event_type": "trigger", "timestamp": datetime(2024, 1, 1)}
-    text, edges = timeline.edge_chain("EVENT: x\nTRIGGER: after\nPREDECESSOR: border war", "update", at, [to])
-    assert edges == [(2, "precedes", round(min(0.99, 0.7 + 0.2 + 0.15 * (1 - 1 / 30)), 3))]
-    text, edges = timeline.edge_chain("EVENT: war talk\nTRIGGER: N/A\nPREDECESSOR: N/A", "update", at, [to])
-    assert "[INFERRED] border war in iran" in text and edges[0][1] == "causes"
+def scored(spark, own, kind, at, others):
+    """(description, edges) of score_edges for one node and its neighbours (id, description, event_type, timestamp)."""
+    rows = [(1, own, kind, at)] + others
+    df = spark.createDataFrame([(i, d, k, t, p, "g") for p, (i, d, k, t) in enumerate(rows)], "id long, description string, event_type string, timestamp timestamp, position_index int, timeline_group_id string")
+    out = {r["id"]: r for r in timeline.score_edges(timeline.neighbours(df)).collect()}
+    return out[1]["description"], [tuple(e) for e in out[1]["edges"]]
+
+
+def test_edge_rules(spark):
+    at, day = datetime(2024, 1, 2), datetime(2024, 1, 1)
+    war = (2, "EVENT: border war in iran\nPREDECESSOR: N/A", "trigger", day)
+    text, edges = scored(spark, "EVENT: x\nTRIGGER: after\nPREDECESSOR: border war", "update", at, [war])
+    assert edges == [(2, "precedes", round(min(0.99, 0.7 + 0.2 + 0.15 * (1 - 1 / 30)), 3))] and "INFERRED" not in text
+    # nothing stated: the first neighbour's event is inferred, and from then on it is the known cause of the description
+    text, edges = scored(spark, "EVENT: war talk\nTRIGGER: N/A\nPREDECESSOR: N/A", "update", at, [war, (3, "EVENT: cup final", "update", day)])
+    alike = len({"war"} | {"event", "predecessor"}) / len({"event", "war", "talk", "trigger", "predecessor"} | {"event", "border", "war", "iran", "predecessor"})
+    assert edges[0] == (2, "causes", round(0.4 + 0.2 * 0.85 + 0.25 * (1 - 1 / 30) + 0.2 * alike, 3))
+    # the next one may take the place of an inferred cause; the first one's logic stays
+    assert edges[1][:2] == (3, "triggers") and 0.4 + 0.17 + 0.24 < edges[1][2] < 0.9
+    assert "PREDECESSOR: [INFERRED] cup final" in text and f"TRIGGER: [IMPLICIT LOGIC: temporal=0.97, entity={alike:.2f}]" in text
+    # neither stated nor inferred, and weak: the cue's relation without confidence
+    assert scored(spark, "EVENT: aftermath\nPREDECESSOR: a long summer", "update", at, [(4, None, None, None)])[1] == [(4, "reacts_to", 0.0)]
+
+
+def test_field_of_description(spark):
+    text = F.lit("EVENT: a b \nTRIGGER: \nPREDECESSOR: N/A")
+    assert one(spark, timeline.field(text, "EVENT", "x")) == "a b" and one(spark, timeline.field(text, "ACTOR", "x")) == "x"
+    assert one(spark, timeline.field(text, "TRIGGER", "x")) == "PREDECESSOR: N/A"  # an empty field reads the next line
+
+
+def test_near_headlines_match_all_pairs(spark):
+    rng = random.Random(11)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(60)]
+    titles = []
+    for i in range(40):
+        own = rng.choices(words, k=9)
+        titles.append("Oil prices surge " + " ".join(own))
+        for _ in range(rng.randrange(3)):
+            w = list(titles[-1])
+            w[rng.randrange(20, len(w))] = rng.choice("xyz")
+            titles.append("".join(w))
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, t, "c", "s", None, at, at) for i, t in enumerate(titles)], NEWS)
+    cols = rows.select("id", T.normalize_text(T.clean_text(F.col("title"))).alias("h")).withColumn("k", T.blocking_keys(F.col("h"), T.significant_tokens(F.col("h")))).withColumn("g", T.trigrams(F.col("h")))
+    own = {r["id"]: r for r in cols.collect()}
+    want = set()
+    for a in own:
+        for b in own:
+            x, y = own[a], own[b]
+            if a < b and x["h"] == y["h"]:
+                want.add((a, b))
+            elif a < b and set(x["k"]) & set(y["k"]) and len(set(x["g"]) & set(y["g"])) / max(len(x["g"]), len(y["g"])) >= 0.69 and SequenceMatcher(None, y["h"], x["h"]).ratio() >= 0.92:
+                want.add((a, b))
+    got = {(r["a"], r["b"]) for r in articles.near_headlines(rows).collect()}
+    assert len(want) > 20 and got == want
+
+
+def test_items_join_their_best_stored_cluster(spark):
+    members = [(1, 10, "Oil prices surge", "oil prices surge again in the gulf"), (1, 11, "Oil price shock", "oil prices fall"), (2, 12, "Cup final tonight", "the cup final is tonight"), (3, 13, None, None)]
+    stored = articles.profiles(spark.createDataFrame(members, "cluster_id long, id long, title string, normalized_text string"))
+    assert {r["cluster_id"]: sorted(r["words"]) for r in stored.collect()} == {1: ["oil", "price", "prices", "shock", "surge"], 2: ["cup", "final", "tonight"], 3: []}
+    items = [(1, ["oil", "prices", "surge"], "oil prices surge again in the gulf"), (2, ["football", "cup"], "zzz"), (3, ["nothing"], None), (4, [], "x"), (5, ["cup", "final"], None)]
+    got = {r["id"]: (r["cluster_id"], r["score"]) for r in articles.match_stored(spark.createDataFrame(items, "id long, words array<string>, normalized_text string"), stored).collect()}
+    assert got == {1: (1, 1.0), 5: (2, 0.6)}
+
+
+def test_signals_without_entity_are_updated(spark):
+    schema = "node_id long, entity string, signal_type string, phrase string, time_span string, source_count int, confidence_score double"
+    a = spark.createDataFrame([(1, None, "risk", "[WEAK] crisis (x)", "a", 1, 0.3)], schema)
+    b = spark.createDataFrame([(1, None, "risk", "[STRONG] crisis (y)", "b", 3, 0.2), (2, "e", "risk", "[WEAK] drop", "b", 1, 0.3)], schema)
+    got = {r["node_id"]: r for r in signals.upsert_signals(a, b).collect()}
+    assert len(got) == 2 and (got[1]["phrase"], got[1]["source_count"], got[1]["confidence_score"]) == ("[STRONG] crisis (y)", 3, 0.3)
+
+
+def test_whole_run_twice(spark):
+    at = datetime(2024, 1, 20)
+    titles = ["Oil prices surge due to war in Iran", "Oil prices surge due to war in Iran again", "Cup final drawn tonight", "Bank merger sparks concerns in Japan"]
+    rows = [(i, t, f"{t} and more text", "s", None, at, at) for i, t in enumerate(titles)] + [(8, "", "c", "s", None, at, at), (9, titles[0], f"{titles[0]} and more text", "s", None, at, at)]
+    first = run_pipeline(spark.createDataFrame(rows, NEWS), "2024-02-01 00:00:00")
+    steps = {(r["step"], r["counter"]): r["n"] for r in first["steps"].collect()}
+    assert (steps["ingestion", "fetched"], steps["ingestion", "valid"], steps["ingestion", "inserted"]) == (6, 5, 4)
+    assert steps["timeline", "nodes"] == steps["clustering", "clusters"] == steps["impact", "rows"] and first["health"].count() == 1
+    assert {(r["entity_type"], r["confidence_score"]) for r in first["nodes"].collect()} == {("topic", 0.7)}
+    more = [(20, "Oil prices surge due to war in Iran today", "Oil prices surge due to war in Iran today and more text", "s", None, at, at), rows[2]]
+    again = run_pipeline(spark.createDataFrame(more, NEWS), "2024-02-01 00:00:00", stored=first)
+    steps = {(r["step"], r["counter"]): r["n"] for r in again["steps"].collect()}
+    assert steps["ingestion", "inserted"] == 1 and steps["clustering", "merged_to_existing"] == 1 and steps["timeline", "nodes"] == first["nodes"].count()
 
 
 def test_order_is_global(spark):
@@ -148,6 +229,11 @@ def test_feed_and_stream(spark, tmp_path):
         ingest_available(spark, str(tmp_path / "in"), NEWS, str(tmp_path / "table"), str(tmp_path / "cp"))
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+    bare = NEWS.removeprefix("id long, ")  # without ids: those of the keys, unique over batches
+    for k in range(2):
+        spark.createDataFrame([(f"t{k}{i}", "c", "s", None, at, at) for i in range(3)], bare).coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+        ingest_available(spark, str(tmp_path / "in2"), bare, str(tmp_path / "table2"), str(tmp_path / "cp2"))
+    assert spark.read.parquet(str(tmp_path / "table2")).select("id").distinct().count() == 6
 
 
 def test_keyword_overlaps_match_brute_force(spark, tmp_path):

@@ -41,6 +41,6 @@ def test_whole_run(spark):
     rows = spark.createDataFrame([(i, t, "some content", "s", None, AT, AT) for i, t in enumerate(titles)], NEWS)
     t = run_pipeline(rows, "2024-02-01 00:00:00")
     nodes = {r["id"]: r for r in t["nodes"].collect()}
-    assert set(t) == set(TABLES) and t["cleaned_news"].count() in (2, 3)
+    assert set(t) == {*TABLES, "articles", "steps", "validation", "health"} and t["cleaned_news"].count() in (2, 3)
     assert sorted(r["position_index"] for r in t["timeline"].collect()) == list(range(len(nodes)))
     assert all(n["impact_type"] for n in nodes.values()) and {r["node_id"] for r in t["signals"].collect()} <= set(nodes)
