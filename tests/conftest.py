@@ -14,6 +14,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    # tables are tiny here: compiling each plan takes longer than running it
+    builder = builder.config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     session = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
