@@ -215,6 +215,12 @@ def test_reports_and_expansion(spark):
     clusters = spark.createDataFrame([(1, "iran oil", "iran oil talks", at), (2, "iran oil deal", "iran oil talks go on", at), (3, "football", "cup final", at)], "cluster_id long, main_topic string, context string, latest_ts timestamp")
     got = expand(spark.createDataFrame([(1,)], "cluster_id long"), clusters, nodes, spark.createDataFrame([], "from_node_id long, to_node_id long")).collect()
     assert {(r["from_cluster"], r["to_cluster"]) for r in got} == {(1, 2), (2, 1)}
+    rng = random.Random(3)
+    texts = ["", *("".join(rng.choices("abc ", k=rng.randint(1, 60))) for _ in range(14))]
+    clusters = spark.createDataFrame([(i, "oil", t, at) for i, t in enumerate(texts)], "cluster_id long, main_topic string, context string, latest_ts timestamp")
+    got = expand(clusters.select("cluster_id"), clusters, nodes.limit(0), edges.limit(0), max_depth=1, similar=0.6).collect()
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a != b and SequenceMatcher(None, x, y).ratio() >= 0.6}
+    assert {(r["from_cluster"], r["to_cluster"]) for r in got} == want and want
 
 
 def test_feed_and_stream(spark, tmp_path):
