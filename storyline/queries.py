@@ -57,7 +57,7 @@ def page_sources(s, d) -> DataFrame:
 def headline_tokens(s, d) -> DataFrame:
     head = T.normalize_text(T.clean_text(F.col("title")))
     tok = T.significant_tokens(head)
-    return news(s, d).select("id", F.array_join(tok, " ").alias("tokens"), F.size(T.trigrams(head)).alias("n_trigrams"), F.size(T.blocking_keys(head, tok)).alias("n_keys"))
+    return news(s, d).select("id", F.array_join(tok, " ").alias("tokens"), F.array_join(F.sort_array(T.trigrams(head)), "|").alias("trigrams"), F.array_join(F.sort_array(T.blocking_keys(head, tok)), "|").alias("keys"))
 
 
 def article_keywords(s, d) -> DataFrame:
@@ -209,7 +209,7 @@ def _news_sql() -> dict[str, str]:
         "article_keys": _q(f"SELECT id, sha256(trim(title) || '|' || trim(source) || '|' || {STAMP}) AS unique_id FROM news WHERE trim(title) <> '' AND trim(content) <> '' AND trim(coalesce(source, '')) <> ''"),
         "clean_articles": _q(f"SELECT id, {CLEAN.format('title')} AS cleaned, {NORM.format(CLEAN.format('title'))} AS normalized, CASE WHEN length(regexp_replace(content, '\\PL', '', 'g')) > 0 AND length(regexp_replace(content, '[^a-zA-Z]', '', 'g')) / length(regexp_replace(content, '\\PL', '', 'g')) >= 0.85 THEN 'en' ELSE 'unknown' END AS language FROM news"),
         "page_sources": f"SELECT page_id, coalesce(nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), ''), 'unknown-source') AS source, {CLEAN.format('html')} AS body FROM pages",
-        "headline_tokens": _q("SELECT id, array_to_string(tok, ' ') AS tokens, CASE WHEN length(head) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(head) - 1), lambda i: substr(head, i, 3)))) END AS n_trigrams, 1 + len(list_distinct(list_filter(flatten(list_transform(range(1, 5), lambda i: list_transform(range(i + 1, 5), lambda j: tok[i] || '_' || tok[j]))), lambda x: x IS NOT NULL))) + CASE WHEN len(tok) > 0 THEN 1 ELSE 0 END AS n_keys FROM h",
+        "headline_tokens": _q("SELECT id, array_to_string(tok, ' ') AS tokens, array_to_string(CASE WHEN length(head) < 3 THEN [head] ELSE list_sort(list_distinct(list_transform(range(1, length(head) - 1), lambda i: substr(head, i, 3)))) END, '|') AS trigrams, array_to_string(list_sort(list_distinct(list_concat(['p:' || substr(head, 1, 16)], list_filter(flatten(list_transform(range(1, 5), lambda i: list_transform(range(i + 1, 5), lambda j: 't:' || tok[i] || '_' || tok[j]))), lambda x: x IS NOT NULL), CASE WHEN len(tok) > 0 THEN ['s:' || tok[1]] ELSE [] END))), '|') AS keys FROM h",
             f"h0 AS (SELECT id, {HEAD} AS head FROM news), h AS (SELECT id, head, list_sort(list_filter(string_split(head, ' '), lambda w: length(w) >= 3 AND NOT list_contains({_list(HEADLINE_STOPWORDS)}, w))) AS tok FROM h0)"),
         "article_keywords": _q("SELECT id, array_to_string(list_sort(k), ' ') AS keywords, key AS cluster_key, 'timeline-' || substr(sha256(key), 1, 12) AS timeline_group FROM (SELECT id, k, substr(sha256(array_to_string(list_sort(k)[1:5], '|')), 1, 24) AS key FROM (SELECT id, " + KEYWORDS.format("title").replace("{{", "{").replace("}}", "}") + " AS k FROM news))"),
         "exact_headlines": _q(f"SELECT min(id) AS id, head AS headline FROM (SELECT id, {HEAD} AS head FROM news) GROUP BY head"),
