@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, langid, line_dedup, mixing, packing, repeat_dedup, shingle_join, toxicity, url_filter, vector_dedup
+from . import exact_dedup, fill_middle, hamming_search, langid, line_dedup, mixing, packing, repeat_dedup, shingle_join, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_url_filter": lambda s, d: url_filter.op8(table(s, d, "pages")),
         "op9_line_dedup": lambda s, d: line_dedup.op9(table(s, d, "documents")),
         "op10_mixing": lambda s, d: mixing.op10(table(s, d, "documents")),
+        "op11_exact_dedup": lambda s, d: exact_dedup.op11(table(s, d, "documents")),
+        "op13_fill_middle": lambda s, d: fill_middle.op13(table(s, d, "documents")),
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_shingle_join": shingle_join.OP2_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_exact_dedup": exact_dedup.OP11_SQL,
+        "op13_fill_middle": fill_middle.OP13_SQL,
     }
