@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_middle, hamming_search, langid, line_dedup, mixing, packing, repeat_dedup, shingle_join, toxicity, url_filter, vector_dedup
+from . import exact_dedup, fill_middle, hamming_search, langid, line_dedup, mixing, packing, repeat_dedup, shingle_join, token_alignment, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_line_dedup": lambda s, d: line_dedup.op9(table(s, d, "documents")),
         "op10_mixing": lambda s, d: mixing.op10(table(s, d, "documents")),
         "op11_exact_dedup": lambda s, d: exact_dedup.op11(table(s, d, "documents")),
+        "op12_token_alignment": lambda s, d: token_alignment.op12(table(s, d, "documents")),
         "op13_fill_middle": lambda s, d: fill_middle.op13(table(s, d, "documents")),
     }
 
