@@ -12,6 +12,10 @@ the stretches are the links. Counts take two passes over the documents.
 2. Tasks align their documents again and look counts up by hash. Each key is held against the stored one, so an unknown
    pair is an error and never another pair's count.
 
+Neither vocabulary joins a character with a space behind it, so both cut a text before every space that follows a character
+that is neither white space nor U+2581, and such a word is aligned by itself. A task keeps the words it has aligned, up to
+a bound, so that a word costs its tokenizers once and not at every place; an alignment is the sequence of its words'.
+
 Tables go to all tasks only in turns of at most `most_shards` shards (about 16 bytes a pair); with more pairs, the
 second pass takes several turns, each adding its share to the sums of a document, and nothing is left out.
 
@@ -25,7 +29,9 @@ text are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,9 @@ from .common import cut
 
 FAN = 16
 SHARD = 1 << 18  # pairs
-_SLICE = 2 << 20  # bytes of text that are aligned at once, unless one text is longer
+_SLICE = 2 << 20  # characters of text that are worked on at once, unless one text is longer
+_KEPT = 24 << 20  # characters and links of aligned words that a task keeps
+_WORD_END = re.compile(r"(?<![\s▁]) (?!\Z)")
 _HELD = 1 << 20  # distinct pairs that a task of the first pass holds before it gives out its counts
 _LOADED: dict[tuple, Tokenizers] = {}
 
@@ -66,17 +74,50 @@ class Tokenizers:
         self.after_b = [np.array([b"%d%c" % (i, c) for i in range(n)], object) for c in b",;"]
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text by A and by B; both empty where a vocabulary does not give the bytes back."""
+        """Ids of space + text by A and by B; both empty where a vocabulary does not give the bytes back."""
         found_a, found_b = [], []
         none = np.zeros(0, np.int64)
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
             raw = (" " + text).encode()
-            a = self.a.encode_to_numpy(" " + text, disallowed_special=()) if text else none
-            ok = text and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            a = self.a.encode_to_numpy(" " + text, disallowed_special=())
+            ok = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
             found_a.append(a.astype(np.int64) if ok else none)
             found_b.append(np.array(b, np.int64) if ok else none)
         return found_a, found_b
 
+    def ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids by A, tokens before each word, ids by B, tokens before each word) of space + word.
+
+        Words are given to the tokenizers joined, a few hundred at a time, as they cut between them anyway; a word that ends in
+        white space or U+2581, and all of a group that does not give its bytes back, is given alone."""
+        groups, group, size = [], [], 0
+        for w in words:
+            alone = not w or w[-1].isspace() or w[-1] == "▁"
+            if alone or size > 4096:
+                groups += [group] if group else []
+                group, size = [], 0
+            if alone:
+                groups.append([w])
+            else:
+                group.append(w)
+                size += len(w) + 1
+        groups += [group] if group else []
+        found_a, found_b = self.ids([" ".join(g) for g in groups])
+        ids, counts = ([], []), ([], [])
+        for g, *found in zip(groups, found_a, found_b, strict=True):
+            if len(found[0]) or len(g) == 1:
+                ends = np.cumsum([len(w.encode()) + 1 for w in g])
+                for k, (own, size) in enumerate(zip(found, (self.len_a, self.len_b), strict=True)):
+                    ids[k].append(own)
+                    counts[k].append(np.diff(np.searchsorted(np.cumsum(size[own]), ends, "right"), prepend=0))
+            else:
+                for k, own in enumerate(self.ids(g)):
+                    ids[k].extend(own)
+                    counts[k].append(np.array([len(x) for x in own], np.int64))
+        none = np.zeros(0, np.int64)
+        ids, before = ([np.concatenate([none, *x]) for x in ids], [np.concatenate([[0], np.cumsum(np.concatenate([none, *x]))]) for x in counts])
+        return ids[0], before[0], ids[1], before[1]
+
 
 def tokenizers(paths: tuple[str, str, str]) -> Tokenizers:
     if paths not in _LOADED:
@@ -91,35 +132,24 @@ def public_tokenizers_paths() -> tuple[str, str, str]:
 
 
 class Alignment:
-    """The links of some documents, whose bytes are laid end to end.
+    """The links of some texts, whose bytes are laid end to end.
 
     a, b: ids; key: of each link; row_a, row_b, row: how many tokens and links there are before each row."""
 
     def __init__(self, kit: Tokenizers, texts: list[str]):
-        found_a, found_b = kit.ids(texts)
-        self.kit, self.n = kit, len(texts)
-        self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_a, found_b))
-        self.row_a, self.row_b = (np.cumsum([0, *map(len, x)]) for x in (found_a, found_b))
+        self.kit = kit
+        self.a, self.row_a, self.b, self.row_b = kit.ids_of_words(texts)
         self.end_a, self.end_b = np.cumsum(kit.len_a[self.a]), np.cumsum(kit.len_b[self.b])
-        ends = np.union1d(self.end_a, self.end_b)
+        ends = _distinct(np.concatenate([self.end_a, self.end_b]))
         of_a, of_b = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
         self.key = self.a[of_a] * kit.size_b + self.b[of_b]
         border = np.concatenate([[0], self.end_a])[self.row_a]
         self.row = np.searchsorted(ends, border, "right")
         self.row[0] = 0
 
-    def document(self) -> np.ndarray:
-        """The row of each link."""
-        return np.repeat(np.arange(self.n), np.diff(self.row))
-
-    def per_row(self, values: np.ndarray) -> np.ndarray:
-        """Sum of a value of each link, a row."""
-        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return total[self.row[1:]] - total[self.row[:-1]]
-
     def groups(self) -> tuple[np.ndarray, list[str]]:
         """How many groups each row has, and their text: `a1,a2|b1;a3|b2`."""
-        both = np.intersect1d(self.end_a, self.end_b)
+        both = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(both, self.end_a), np.searchsorted(both, self.end_b)
         last_a, last_b = (np.isin(e, both) for e in (self.end_a, self.end_b))
         text = np.empty(len(self.a) + len(self.b), object)
@@ -132,17 +162,82 @@ class Alignment:
         return np.diff(border), [b"".join(parts[x:y])[:-1].decode() for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], paths: tuple[str, str, str]) -> Iterator[tuple[pa.RecordBatch, Alignment]]:
-    """Batches of about _SLICE bytes of text with their alignment."""
-    kit = tokenizers(paths)
+def _distinct(x: np.ndarray, counted: bool = False):
+    """The distinct values of x in order, and how often each occurs if that is asked for."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return (x[first], np.diff(first, append=len(x))) if counted else x[first]
+
+
+class Words:
+    """The words that a task has aligned. number: of each word; per word ok, n_a, n_b, n_groups, its links from first[i] to
+    first[i + 1] in key, and its groups as text."""
+
+    def __init__(self, kit: Tokenizers):
+        self.kit, self.cleared = kit, -1
+        self.clear()
+
+    def clear(self) -> None:
+        self.cleared += 1
+        self.number: dict[str, int] = {}
+        self.sizes, self.first, self.key = np.zeros((4, 0), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.text: list[str] = []
+        self.kept = 0
+
+    def add(self, words: list[str]) -> None:
+        new = list(set(words).difference(self.number))
+        if not new:
+            return
+        own = Alignment(self.kit, new)
+        n_groups, text = own.groups()
+        self.number.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
+        n_a, n_b = np.diff(own.row_a), np.diff(own.row_b)
+        self.sizes = np.concatenate([self.sizes, [n_a > 0, n_a, n_b, n_groups]], 1)
+        self.first = np.concatenate([self.first, self.first[-1] + own.row[1:]])
+        self.key = np.concatenate([self.key, own.key])
+        self.text += text
+        self.kept += len(own.key) + sum(map(len, text)) + sum(map(len, new))
+
+
+class Documents:
+    """Some documents as sequences of words: at[row[i]:row[i + 1]] are numbers of words; a document without tokens has none."""
+
+    def __init__(self, words: Words, texts: list[str | None]):
+        parts = [_WORD_END.split(" " + t)[1:] if t else [] for t in texts]
+        words.add([w for p in parts for w in p])
+        found = [list(map(words.number.__getitem__, p)) for p in parts]
+        ok = words.sizes[0]
+        self.found = [f if f and ok[f].all() else [] for f in found]
+        self.row = np.cumsum([0, *map(len, self.found)])
+        self.at = np.fromiter(chain.from_iterable(self.found), np.int64, int(self.row[-1]))
+
+    def per_row(self, of_word: np.ndarray) -> np.ndarray:
+        """Sum of a value of each word, a row."""
+        total = np.concatenate([[0], np.cumsum(of_word[self.at], dtype=np.int64)])
+        return total[self.row[1:]] - total[self.row[:-1]]
+
+    def pairs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys, how many of the documents hold each)."""
+        n, span = len(words.text), len(words.kit.len_a) * words.kit.size_b
+        once = _distinct(np.repeat(np.arange(len(self.found)), np.diff(self.row)) * n + self.at)
+        document, word = once // max(n, 1), once % max(n, 1)
+        sizes = words.first[word + 1] - words.first[word]
+        place = np.repeat(words.first[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return _distinct(_distinct(np.repeat(document, sizes) * span + words.key[place]) % span, counted=True)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.RecordBatch, Documents]]:
+    """Batches of about _SLICE characters of text, by words."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         first = size = 0
         for i, text in enumerate(texts):
             size += len(text or "")
             if size >= _SLICE or i == len(texts) - 1:
-                yield batch.slice(first, i + 1 - first), Alignment(kit, [t or "" for t in texts[first : i + 1]])
+                yield batch.slice(first, i + 1 - first), Documents(words, texts[first : i + 1])
                 first, size = i + 1, 0
+                if words.kept > _KEPT:
+                    words.clear()
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -215,10 +310,9 @@ def partial_counts(docs: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
                 k = keys[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k), pa.array(counts[i : i + (1 << 16)])], names=["part", "key", "n"])
 
-        for _, links in _aligned(batches, paths):
-            span = len(links.kit.len_a) * links.kit.size_b
-            once = np.unique(links.document() * span + links.key) % span  # a document counts a pair once
-            added.append(np.unique(once, return_counts=True))
+        words = Words(tokenizers(paths))
+        for _, docs in _aligned(batches, words):
+            added.append(docs.pairs(words))
             if sum(len(k) for k, _ in added) >= _HELD:
                 keys, counts = merged()
                 added = []
@@ -339,20 +433,24 @@ def _looked_up(table, best, paths: tuple[str, str, str], last: bool) -> Callable
     """The second pass over batches with sums so far: adds what the table holds, and in the last turn gives the alignment."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, most = table.value, best.value
-        for batch, links in _aligned(batches, paths):
-            n = counts.counts_of(links.key)
-            is_best = (n > 0) & (n == most[links.key // links.kit.size_b]) if len(most) else np.zeros(len(n), bool)
-            sums = [pa.array(batch.column(c).to_numpy() + links.per_row(v)) for c, v in (("n_best", is_best), ("count_sum", n))]
+        counts, most, words = table.value, best.value, Words(tokenizers(paths))
+        of_word, cleared = np.zeros((2, 0), np.int64), 0  # links that are best, and the sum of counts, of each word
+        for batch, docs in _aligned(batches, words):
+            if cleared < words.cleared:
+                of_word, cleared = of_word[:, :0], words.cleared
+            known, first = of_word.shape[1], words.first
+            key = words.key[first[known] :]
+            n = counts.counts_of(key)
+            is_best = (n > 0) & (n == most[key // words.kit.size_b])
+            sums = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)]) for v in (is_best, n))
+            of_word = np.concatenate([of_word, [np.diff(s[first[known:] - first[known]]) for s in sums]], 1)
+            sums = [pa.array(batch.column(c).to_numpy() + docs.per_row(v)) for c, v in zip(("n_best", "count_sum"), of_word, strict=True)]
             if not last:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *sums], names=["doc_id", "text", "n_best", "count_sum"])
                 continue
-            n_groups, groups = links.groups()
-            sizes = [pa.array(np.diff(x).astype(np.int64)) for x in (links.row_a, links.row_b)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *sizes, pa.array(n_groups.astype(np.int64)), pa.array(np.diff(links.row).astype(np.int64)), *sums, pa.array(groups, pa.string())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
-            )
+            sizes = [pa.array(docs.per_row(v)) for v in (*words.sizes[1:], np.diff(first))]
+            groups = pa.array([";".join(map(words.text.__getitem__, f)) for f in docs.found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *sizes, *sums, groups], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
     return look_up
 

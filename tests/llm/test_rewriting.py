@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,7 +223,32 @@ def test_alignment_equals_rule(docs, aligned):
     assert any(r["n_a"] == 0 and r["doc_id"] == TEXTS.index("▁piece") for r in got)
 
 
-def test_alignment_in_small_shards_and_turns(docs, aligned, monkeypatch):
+def test_words_are_cut_where_both_tokenizers_cut():
+    rng, kit = random.Random(4), token_alignment.tokenizers(token_alignment.public_tokenizers_paths())
+    assert not [p for p in map(kit.b.id_to_piece, range(kit.size_b)) if re.search("[^▁]▁", p)]
+    for _ in range(400):
+        text = "".join(rng.choice([" ", " ", "  ", "a", "The", "'s", "!", "?!", "\n", "\t", "\xa0", "\u2003", "\x1c", "▁", "é", "日", "12", "<s>", "\x85"]) for _ in range(rng.randint(1, 25)))
+        words, none = token_alignment.Words(kit), token_alignment.Alignment(kit, [text])
+        docs = token_alignment.Documents(words, [text])
+        n_groups, groups = none.groups()
+        assert ";".join(words.text[i] for i in docs.found[0]) == groups[0] and docs.per_row(words.sizes[3])[0] == n_groups[0]
+
+
+def test_words_may_be_forgotten(rows, monkeypatch):
+    kit, batch = token_alignment.tokenizers(token_alignment.public_tokenizers_paths()), pa.record_batch({"text": [t for _, t in rows]})
+
+    def found():
+        words = token_alignment.Words(kit)
+        return [(";".join(words.text[i] for i in f), *map(sorted, zip(*(x.tolist() for x in d.pairs(words)), strict=True)), words.cleared) for _, d in token_alignment._aligned(iter([batch]), words) for f in d.found]
+
+    whole = found()
+    monkeypatch.setattr(token_alignment, "_SLICE", 200)
+    monkeypatch.setattr(token_alignment, "_KEPT", 1)
+    parts = found()
+    assert [p[0] for p in parts] == [w[0] for w in whole] and parts[-1][-1] > 3
+
+
+def test_alignment_in_small_shards_and_turns(docs, aligned):
     got = token_alignment.align_tokens(docs.where("coalesce(length(text), 0) < 5000").repartition(40), shard=30, most_shards=5)
     got = got.withColumn("groups", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(""))
     assert sorted(str(tuple(r)) for r in got.collect()) == aligned[0]
