@@ -13,8 +13,8 @@ the stretches are the links. Counts take two passes over the documents.
    pair is an error and never another pair's count.
 
 Neither vocabulary joins a character with a space behind it, so both cut a text before every space that follows a character
-that is neither white space nor U+2581, and such a word is aligned by itself. A task keeps the words it has aligned, up to
-a bound, so that a word costs its tokenizers once and not at every place; an alignment is the sequence of its words'.
+that is neither white space nor U+2581, and such a word is aligned by itself. A process keeps the words it has aligned, up to
+a bound beyond which the rarer ones go, so that a common word costs its tokenizers once and not at every place; an alignment is the sequence of its words'.
 
 Tables go to all tasks only in turns of at most `most_shards` shards (about 16 bytes a pair); with more pairs, the
 second pass takes several turns, each adding its share to the sums of a document, and nothing is left out.
@@ -45,9 +45,11 @@ FAN = 16
 SHARD = 1 << 18  # pairs
 _SLICE = 2 << 20  # characters of text that are worked on at once, unless one text is longer
 _KEPT = 24 << 20  # characters and links of aligned words that a task keeps
+_ODD = re.compile(r"[\s▁] ")
 _WORD_END = re.compile(r"(?<![\s▁]) (?!\Z)")
 _HELD = 1 << 20  # distinct pairs that a task of the first pass holds before it gives out its counts
 _LOADED: dict[tuple, Tokenizers] = {}
+_WORDS: dict[tuple, Words] = {}
 
 
 class Tokenizers:
@@ -182,8 +184,28 @@ class Words:
         self.number: dict[str, int] = {}
         self.sizes, self.first, self.key = np.zeros((4, 0), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.text: list[str] = []
+        self.uses = np.zeros(0, np.int64)
         self.kept = 0
 
+    def forget(self, least: int = 2) -> None:
+        """Keep the words that were met `least` times or more since the last call, or more often ones if those take over half the room."""
+        links = np.diff(self.first)
+        cost = links + np.fromiter(map(len, self.text), np.int64, len(self.text))
+        while cost[self.uses >= least].sum() * 2 > _KEPT:
+            least *= 2
+        keep = np.flatnonzero(self.uses >= least)
+        words, text, held = list(self.number), self.text, np.repeat(self.uses >= least, links)
+        sizes, first, key = self.sizes[:, keep], np.concatenate([[0], np.cumsum(links[keep])]), self.key[held]
+        self.clear()
+        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.sizes, self.first, self.key, self.text = sizes, first, key, [text[i] for i in keep.tolist()]
+        self.uses, self.kept = np.zeros(len(keep), np.int64), int(cost[keep].sum() + sum(map(len, self.number)))
+
+    def links(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many links each of the words has, the keys of all these links in turn)."""
+        sizes = self.first[word + 1] - self.first[word]
+        return sizes, self.key[np.repeat(self.first[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
     def add(self, words: list[str]) -> None:
         new = list(set(words).difference(self.number))
         if not new:
@@ -196,20 +218,34 @@ class Words:
         self.first = np.concatenate([self.first, self.first[-1] + own.row[1:]])
         self.key = np.concatenate([self.key, own.key])
         self.text += text
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.kept += len(own.key) + sum(map(len, text)) + sum(map(len, new))
 
 
+def words_of(paths: tuple[str, str, str]) -> Words:
+    """The words that this Python process has aligned, in this task or in those before."""
+    kit = tokenizers(paths)
+    return _WORDS.setdefault(paths, Words(kit))
+
+
+def _words(text: str) -> list[str]:
+    if text[0] == " " or text[-1] == " " or _ODD.search(text):
+        return _WORD_END.split(" " + text)[1:]
+    return text.split(" ")
+
+
 class Documents:
     """Some documents as sequences of words: at[row[i]:row[i + 1]] are numbers of words; a document without tokens has none."""
 
     def __init__(self, words: Words, texts: list[str | None]):
-        parts = [_WORD_END.split(" " + t)[1:] if t else [] for t in texts]
+        parts = [_words(t) if t else [] for t in texts]
         words.add([w for p in parts for w in p])
         found = [list(map(words.number.__getitem__, p)) for p in parts]
         ok = words.sizes[0]
         self.found = [f if f and ok[f].all() else [] for f in found]
         self.row = np.cumsum([0, *map(len, self.found)])
         self.at = np.fromiter(chain.from_iterable(self.found), np.int64, int(self.row[-1]))
+        words.uses += np.bincount(self.at, minlength=len(words.uses))
 
     def per_row(self, of_word: np.ndarray) -> np.ndarray:
         """Sum of a value of each word, a row."""
@@ -221,9 +257,8 @@ class Documents:
         n, span = len(words.text), len(words.kit.len_a) * words.kit.size_b
         once = _distinct(np.repeat(np.arange(len(self.found)), np.diff(self.row)) * n + self.at)
         document, word = once // max(n, 1), once % max(n, 1)
-        sizes = words.first[word + 1] - words.first[word]
-        place = np.repeat(words.first[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        return _distinct(_distinct(np.repeat(document, sizes) * span + words.key[place]) % span, counted=True)
+        sizes, key = words.links(word)
+        return _distinct(_distinct(np.repeat(document, sizes) * span + key) % span, counted=True)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.RecordBatch, Documents]]:
@@ -237,7 +272,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[
                 yield batch.slice(first, i + 1 - first), Documents(words, texts[first : i + 1])
                 first, size = i + 1, 0
                 if words.kept > _KEPT:
-                    words.clear()
+                    words.forget()
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -310,7 +345,7 @@ def partial_counts(docs: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
                 k = keys[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k), pa.array(counts[i : i + (1 << 16)])], names=["part", "key", "n"])
 
-        words = Words(tokenizers(paths))
+        words = words_of(paths)
         for _, docs in _aligned(batches, words):
             added.append(docs.pairs(words))
             if sum(len(k) for k, _ in added) >= _HELD:
@@ -433,22 +468,25 @@ def _looked_up(table, best, paths: tuple[str, str, str], last: bool) -> Callable
     """The second pass over batches with sums so far: adds what the table holds, and in the last turn gives the alignment."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, most, words = table.value, best.value, Words(tokenizers(paths))
-        of_word, cleared = np.zeros((2, 0), np.int64), 0  # links that are best, and the sum of counts, of each word
+        counts, most, words = table.value, best.value, words_of(paths)
+        of_word, cleared = np.zeros((2, 0), np.int64), words.cleared  # best links and sum of counts of each word, -1 if unknown
         for batch, docs in _aligned(batches, words):
-            if cleared < words.cleared:
+            if cleared != words.cleared:
                 of_word, cleared = of_word[:, :0], words.cleared
-            known, first = of_word.shape[1], words.first
-            key = words.key[first[known] :]
+            of_word = np.concatenate([of_word, np.full((2, len(words.text) - of_word.shape[1]), -1)], 1)
+            # only of words in these documents: others that the process keeps may come from another corpus
+            new = _distinct(docs.at[of_word[0, docs.at] < 0])
+            sizes, key = words.links(new)
             n = counts.counts_of(key)
             is_best = (n > 0) & (n == most[key // words.kit.size_b])
-            sums = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)]) for v in (is_best, n))
-            of_word = np.concatenate([of_word, [np.diff(s[first[known:] - first[known]]) for s in sums]], 1)
+            for k, v in enumerate((is_best, n)):
+                total = np.concatenate([[0], np.cumsum(v, dtype=np.int64)])
+                of_word[k, new] = np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
             sums = [pa.array(batch.column(c).to_numpy() + docs.per_row(v)) for c, v in zip(("n_best", "count_sum"), of_word, strict=True)]
             if not last:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *sums], names=["doc_id", "text", "n_best", "count_sum"])
                 continue
-            sizes = [pa.array(docs.per_row(v)) for v in (*words.sizes[1:], np.diff(first))]
+            sizes = [pa.array(docs.per_row(v)) for v in (*words.sizes[1:], np.diff(words.first))]
             groups = pa.array([";".join(map(words.text.__getitem__, f)) for f in docs.found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *sizes, *sums, groups], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 

@@ -246,6 +246,8 @@ def test_words_may_be_forgotten(rows, monkeypatch):
     monkeypatch.setattr(token_alignment, "_KEPT", 1)
     parts = found()
     assert [p[0] for p in parts] == [w[0] for w in whole] and parts[-1][-1] > 3
+    monkeypatch.setattr(token_alignment, "_KEPT", 4000)  # some words stay
+    assert [p[0] for p in found()] == [w[0] for w in whole]
 
 
 def test_alignment_in_small_shards_and_turns(docs, aligned):
