@@ -125,6 +125,24 @@ def within_days(a: Column, b: Column, days: int) -> Column:
     return F.coalesce(F.abs(F.unix_micros(a) - F.unix_micros(b)) <= days * 86_400_000_000, F.lit(False))
 
 
+#: The characters that char_counts() counts each by itself; all others are one class.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def char_counts(text: Column) -> Column:
+    """Array of how often each character of COUNTED is in a text, then how many others there are."""
+    each = [(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long") for c in COUNTED]
+    counts = F.array(*each)
+    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than the sequence ratio of two texts, from their char_counts(): what both hold of each character, at most."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
+    size = total(a) + total(b)
+    return F.when(size > 0, 2 * total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / size).otherwise(1.0)
+
+
 def ratio_at_least(threshold: float, autojunk: bool = True):
     """pandas_udf (a, b) -> the sequence ratio, or 0 where its upper bounds are already below the threshold.
 

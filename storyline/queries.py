@@ -10,11 +10,11 @@ from .functions import text as T
 from .lexicons import CUES, EVENT_KEYWORDS, EVENT_TYPES, HEADLINE_STOPWORDS, KEYWORD_STOPWORDS, NEGATIVE, POSITIVE, SECTOR_KEYWORDS, SIGNAL_PHRASES
 from .news import AS_OF, NEWS_SQL, news
 from .operators import articles as A
+from .operators import headlines as H
 from .operators import impact as I
 from .operators import search as R
 from .operators import signals as S
 from .operators import timeline as L
-from .operators.graph import greedy_keep
 
 def _now():
     return F.to_timestamp(F.lit(AS_OF))
@@ -148,7 +148,7 @@ def keyword_overlaps(s, d) -> DataFrame:
 
 def kept_articles(s, d) -> DataFrame:
     n = news(s, d)
-    return greedy_keep(A.near_headlines(n), n)
+    return n.select("id").join(H.duplicates(n)[0], "id", "left_anti")
 
 
 def _nodes(s, d) -> DataFrame:

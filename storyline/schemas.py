@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = {
     "raw_news": "id long, unique_id string, title string, content string, source string, url string, published_at timestamp, created_at timestamp",
@@ -24,3 +26,13 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
     fields = [f.strip().split(" ")[0] for f in TABLES[name].replace("array<string>", "array").split(",")]
     df.select(*fields).write.mode(mode).parquet(f"{root}/{name}")
+
+
+def empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], TABLES[name])
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """df with the columns and types that TABLES declares for a table; columns that it lacks are null."""
+    fields = StructType.fromDDL(TABLES[name]).fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime
 from difflib import SequenceMatcher
 
@@ -7,10 +8,9 @@ from pyspark.sql import functions as F
 
 from storyline import queries
 from storyline.functions import text as T
-from storyline.lexicons import ENTITIES, SIGNAL_PHRASES
-from storyline.operators import articles, graph, impact, quality, reports, search, signals, timeline
-from storyline.operators.expand import expand
-from storyline.plans.pipeline import run_pipeline
+from storyline.lexicons import ENTITIES, HEADLINE_STOPWORDS, SIGNAL_PHRASES
+from storyline.operators import articles, graph, headlines, impact, quality, reports, search, signals, timeline
+from storyline.operators.expand import expand, outlines
 from storyline.schemas import TABLES
 from storyline.sources.feeds import read_feed
 from storyline.streaming.incremental import ingest_available
@@ -62,13 +62,12 @@ def test_greedy_keep_is_sequential(spark):
 
 def test_near_headlines(spark):
     at = datetime(2024, 1, 1)
-    titles = ["Central bank raises key interest rate again", "Central bank raises key interest rates again", "central bank raises KEY interest rate again", "Oil tanker leaves port of Rotterdam today"]
+    titles = ["Central bank raises key interest rate again", "Central bank raises key interest rates again", "central bank raises KEY interest rate again", "Oil tanker leaves port of Rotterdam today", "日本", "日本"]
     rows = spark.createDataFrame([(i, t, "c", "s", None, at, at) for i, t in enumerate(titles)], NEWS)
-    pairs = {(r["a"], r["b"]) for r in articles.near_headlines(rows).collect()}
-    assert pairs == {(0, 1), (0, 2)}
-    assert {r["id"] for r in articles.preprocess(rows).collect()} == {0, 3}
-    assert len(articles.new_articles(rows.unionByName(rows)).collect()) == 4
-    assert articles.cluster_articles(articles.preprocess(rows)).count() == 2
+    assert {r["id"] for r in headlines.duplicates(rows)[0].collect()} == {1, 2}
+    assert {r["id"] for r in articles.preprocess(rows).collect()} == {0, 3, 4, 5}  # what cleaning empties is no copy
+    assert len(articles.new_articles(rows.unionByName(rows)).collect()) == 5
+    assert articles.cluster_articles(articles.preprocess(rows.where("id < 4"))).count() == 2
 
 
 def test_causes_and_entities(spark):
@@ -109,31 +108,67 @@ def test_field_of_description(spark):
     assert one(spark, timeline.field(text, "TRIGGER", "x")) == "PREDECESSOR: N/A"  # an empty field reads the next line
 
 
-def test_near_headlines_match_all_pairs(spark):
+def kept_by_rule(rows, kept=()):
+    """Ids that the sequential rule keeps of rows (id, title, created_at), after the headlines `kept`."""
+    key = lambda h: {"p:" + h[:16]} | (lambda w: {"t:" + a + "_" + b for i, a in enumerate(w[:4]) for b in w[i + 1 : 4]} | {"s:" + x for x in w[:1]})(sorted(x for x in h.split() if len(x) >= 3 and x not in HEADLINE_STOPWORDS))
+    gram = lambda h: {h[i : i + 3] for i in range(len(h) - 2)} if len(h) > 2 else {h}
+    kept, out = [h for h in kept if h], []
+    for i, title, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        h = " ".join(re.sub(r"[^a-zA-Z0-9\s.,;:!?'\-]", " ", title).lower().split())
+        same = lambda o: h == o or key(h) & key(o) and len(gram(h) & gram(o)) / max(len(gram(h)), len(gram(o))) >= 0.69 and SequenceMatcher(None, h, o).ratio() >= 0.92
+        if not h or not any(same(o) for o in kept):
+            out.append(i)
+            kept += [h] if h else []
+    return set(out), kept
+
+
+@pytest.fixture(scope="module")
+def similar_titles():
     rng = random.Random(11)
     words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(60)]
-    titles = []
-    for i in range(40):
-        own = rng.choices(words, k=9)
-        titles.append("Oil prices surge " + " ".join(own))
-        for _ in range(rng.randrange(3)):
+    titles = ["", "é", "ab", "ab", "a b"]
+    for _ in range(50):
+        titles.append("Oil prices surge " + " ".join(rng.choices(words, k=9)))
+        for _ in range(rng.randrange(4)):
             w = list(titles[-1])
             w[rng.randrange(20, len(w))] = rng.choice("xyz")
             titles.append("".join(w))
-    at = datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(i, t, "c", "s", None, at, at) for i, t in enumerate(titles)], NEWS)
-    cols = rows.select("id", T.normalize_text(T.clean_text(F.col("title"))).alias("h")).withColumn("k", T.blocking_keys(F.col("h"), T.significant_tokens(F.col("h")))).withColumn("g", T.trigrams(F.col("h")))
-    own = {r["id"]: r for r in cols.collect()}
-    want = set()
-    for a in own:
-        for b in own:
-            x, y = own[a], own[b]
-            if a < b and x["h"] == y["h"]:
-                want.add((a, b))
-            elif a < b and set(x["k"]) & set(y["k"]) and len(set(x["g"]) & set(y["g"])) / max(len(x["g"]), len(y["g"])) >= 0.69 and SequenceMatcher(None, y["h"], x["h"]).ratio() >= 0.92:
-                want.add((a, b))
-    got = {(r["a"], r["b"]) for r in articles.near_headlines(rows).collect()}
-    assert len(want) > 20 and got == want
+    return [(i, t, datetime(2024, 1, 1 + rng.randrange(5))) for i, t in enumerate(titles)]
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_kept_headlines_equal_sequential_rule(spark, similar_titles, monkeypatch, hot):
+    monkeypatch.setattr(headlines, "HOT", hot)
+    want, _ = kept_by_rule(similar_titles)
+    rows = spark.createDataFrame(similar_titles, "id long, title string, created_at timestamp")
+    gone = {r["id"] for r in headlines.duplicates(rows)[0].collect()}
+    assert {i for i, *_ in similar_titles} - gone == want and len(gone) > 30
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_stored_headlines_decide_before_new_ones(spark, similar_titles, monkeypatch, hot):
+    monkeypatch.setattr(headlines, "HOT", hot)
+    schema = "id long, title string, created_at timestamp"
+    old, new = [r for r in similar_titles if r[0] % 3 == 0], [r for r in similar_titles if r[0] % 3]
+    want_old, kept = kept_by_rule(old)
+    want_new, _ = kept_by_rule(new, kept)
+    gone, index = headlines.duplicates(spark.createDataFrame(old, schema))
+    assert {i for i, *_ in old} - {r["id"] for r in gone.collect()} == want_old
+    more, _ = headlines.duplicates(spark.createDataFrame(new, schema), index=index)
+    assert {i for i, *_ in new} - {r["id"] for r in more.collect()} == want_new
+    # later rows by created_at, in two runs: the same as in one
+    rows = sorted(similar_titles, key=lambda r: (r[2], r[0]))
+    gone, index = headlines.duplicates(spark.createDataFrame(rows[:60], schema))
+    more, _ = headlines.duplicates(spark.createDataFrame(rows[60:], schema), index=index)
+    assert {r["id"] for r in gone.unionByName(more).collect()} == {i for i, *_ in rows} - kept_by_rule(rows)[0]
+
+
+def test_character_counts_bound_the_ratio(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choices("abé -A1", k=rng.randrange(30))), "".join(rng.choices("abé -A1", k=rng.randrange(30)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.ratio_bound(T.char_counts(F.col("a")), T.char_counts(F.col("b"))).alias("r"))
+    rows = df.collect()
+    assert all(r["r"] + 1e-12 >= SequenceMatcher(None, r["a"], r["b"]).quick_ratio() for r in rows) and sum(r["r"] < 0.6 for r in rows) > 20
 
 
 def test_items_join_their_best_stored_cluster(spark):
@@ -153,21 +188,6 @@ def test_signals_without_entity_are_updated(spark):
     assert len(got) == 2 and (got[1]["phrase"], got[1]["source_count"], got[1]["confidence_score"]) == ("[STRONG] crisis (y)", 3, 0.3)
 
 
-def test_whole_run_twice(spark):
-    at = datetime(2024, 1, 20)
-    titles = ["Oil prices surge due to war in Iran", "Oil prices surge due to war in Iran again", "Cup final drawn tonight", "Bank merger sparks concerns in Japan"]
-    rows = [(i, t, f"{t} and more text", "s", None, at, at) for i, t in enumerate(titles)] + [(8, "", "c", "s", None, at, at), (9, titles[0], f"{titles[0]} and more text", "s", None, at, at)]
-    first = run_pipeline(spark.createDataFrame(rows, NEWS), "2024-02-01 00:00:00")
-    steps = {(r["step"], r["counter"]): r["n"] for r in first["steps"].collect()}
-    assert (steps["ingestion", "fetched"], steps["ingestion", "valid"], steps["ingestion", "inserted"]) == (6, 5, 4)
-    assert steps["timeline", "nodes"] == steps["clustering", "clusters"] == steps["impact", "rows"] and first["health"].count() == 1
-    assert {(r["entity_type"], r["confidence_score"]) for r in first["nodes"].collect()} == {("topic", 0.7)}
-    more = [(20, "Oil prices surge due to war in Iran today", "Oil prices surge due to war in Iran today and more text", "s", None, at, at), rows[2]]
-    again = run_pipeline(spark.createDataFrame(more, NEWS), "2024-02-01 00:00:00", stored=first)
-    steps = {(r["step"], r["counter"]): r["n"] for r in again["steps"].collect()}
-    assert steps["ingestion", "inserted"] == 1 and steps["clustering", "merged_to_existing"] == 1 and steps["timeline", "nodes"] == first["nodes"].count()
-
-
 def test_order_is_global(spark):
     rows = [(i, "k", datetime(2024, 1, 1 + i % 9) if i % 5 else None, float(i % 4), 1, 1) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, cluster_key string, timestamp timestamp, score double, frequency long, source_count long")
@@ -212,15 +232,66 @@ def test_reports_and_expansion(spark):
     none_i, none_s = spark.createDataFrame([], TABLES["impact"]), spark.createDataFrame([], TABLES["signals"])
     rows = {r["node_id"]: r for r in reports.unified(nodes, edges, none_i, none_s).collect()}
     assert rows[1]["causes"][0]["id"] == 2 and rows[2]["caused_by"][0]["id"] == 1 and rows[1]["event"]["description"] == "a; b"
-    clusters = spark.createDataFrame([(1, "iran oil", "iran oil talks", at), (2, "iran oil deal", "iran oil talks go on", at), (3, "football", "cup final", at)], "cluster_id long, main_topic string, context string, latest_ts timestamp")
-    got = expand(spark.createDataFrame([(1,)], "cluster_id long"), clusters, nodes, spark.createDataFrame([], "from_node_id long, to_node_id long")).collect()
-    assert {(r["from_cluster"], r["to_cluster"]) for r in got} == {(1, 2), (2, 1)}
+
+
+def grown(spark, texts, nodes, edges=(), **how):
+    """Edges of expand: texts (cluster, topic, text, time), nodes (id, cluster, entity, time), edges (from, to, relation)."""
+    news = spark.createDataFrame([(c, 1000 * c + k, part, at, at) for c, _, text, at in texts for k, part in enumerate(text.split("|"))], "cluster_id long, id long, normalized_text string, published_at timestamp, created_at timestamp")
+    about = outlines(news).join(spark.createDataFrame([(c, t) for c, t, *_ in texts], "cluster_id long, main_topic string"), "cluster_id")
+    own = spark.createDataFrame(nodes, "id long, cluster_id long, entity string, timestamp timestamp")
+    out = expand(own.select("id"), about, news, own, spark.createDataFrame(list(edges), "from_node_id long, to_node_id long, relation_type string"), **how)
+    assert out.where("made <> (to_node_id < 0)").isEmpty()
+    return {(r["from_node_id"], r["to_node_id"]) for r in out.collect()}
+
+
+def grown_by_rule(texts, nodes, edges=(), similar=0.35, days=7):
+    word = lambda s: {w.lower() for w in re.findall("[a-zA-Z0-9]{3,}", s or "")}
+    first, out = {}, []
+    for n in sorted(nodes):
+        first.setdefault(n[1], n)
+    known, seen, queue = set(edges), {n[0] for n in nodes}, [(n, 0) for n in nodes]
+    text = {c: " ".join(x.split("|")) for c, _, x, _ in texts}
+    while queue:
+        (node, cluster, entity, at), depth = queue.pop(0)
+        if depth >= 2 or cluster not in text:
+            continue
+        for c, topic, _, latest in texts:
+            near = at and latest and abs((at - latest).total_seconds()) <= days * 86400
+            if c != cluster and near and word(entity) & word(topic) and SequenceMatcher(None, text[cluster], text[c]).ratio() >= similar:
+                to = first.setdefault(c, (-c - 1, c, (topic.split() or ["event"])[0], latest))
+                if (node, to[0], "expands_to") not in known:
+                    known.add((node, to[0], "expands_to"))
+                    out.append((node, to[0]))
+                if to[0] not in seen:
+                    seen.add(to[0])
+                    queue.append((to, depth + 1))
+    return set(out)
+
+
+def test_expansion_holds_entity_against_topic(spark):
+    at = datetime(2024, 1, 1)
+    texts = [(1, "grain shortage", "grain news of today", at), (2, "grain exports", "grain news of today", at), (3, "iran talks", "grain news of now", at)]
+    nodes = [(1, 1, "Iran", at), (2, 2, "Egypt", at), (3, 3, "Oman", at)]
+    assert grown(spark, texts, nodes, [(1, 3, "causes")]) == grown_by_rule(texts, nodes, [(1, 3, "causes")]) == {(1, 3)}
+    assert grown(spark, texts, nodes, [(1, 3, "expands_to")]) == set()
+
+
+def test_expansion_makes_nodes_and_goes_on_from_them(spark):
+    at = datetime(2024, 1, 1)
+    texts = [(1, "oil", "oil prices rise", at), (2, "iran port", "oil prices rise|again", at), (3, "iran ship", "oil prices rise again", at), (4, "ship", "oil prices rise and fall", at), (5, "iran far", "oil prices rise", datetime(2024, 3, 1))]
+    nodes = [(1, 1, "Iran", at)]
+    got = grown(spark, texts, nodes)
+    assert got == grown_by_rule(texts, nodes) and {(1, -3), (1, -4), (-3, -4), (-4, -3)} <= got and not any(-6 in e for e in got)
+
+
+def test_expansion_equals_queue_of_the_rule(spark):
     rng = random.Random(3)
-    texts = ["", *("".join(rng.choices("abc ", k=rng.randint(1, 60))) for _ in range(14))]
-    clusters = spark.createDataFrame([(i, "oil", t, at) for i, t in enumerate(texts)], "cluster_id long, main_topic string, context string, latest_ts timestamp")
-    got = expand(clusters.select("cluster_id"), clusters, nodes.limit(0), edges.limit(0), max_depth=1, similar=0.6).collect()
-    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a != b and SequenceMatcher(None, x, y).ratio() >= 0.6}
-    assert {(r["from_cluster"], r["to_cluster"]) for r in got} == want and want
+    pick = lambda n: " ".join(rng.choices(["oil", "iran", "grain", "port", "bank", "the", "of"], k=n))
+    texts = [(c, pick(2) if c else "", "|".join(pick(rng.randint(1, 8)) for _ in range(rng.randint(1, 3))), datetime(2024, 1, 1 + rng.randrange(28))) for c in range(30)]
+    nodes = [(100 + k, c, pick(1), datetime(2024, 1, 1 + rng.randrange(28)) if k % 7 else None) for k, c in enumerate(rng.choices(range(30), k=12))]
+    edges = [(100, 101, "expands_to"), (101, 102, "causes")]
+    want = grown_by_rule(texts, nodes, edges, similar=0.6, days=9)
+    assert grown(spark, texts, nodes, edges, similar=0.6, days=9) == want and any(b < 0 for _, b in want) and any(a < 0 for a, _ in want)
 
 
 def test_feed_and_stream(spark, tmp_path):
