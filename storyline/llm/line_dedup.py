@@ -2,7 +2,8 @@
 
 Defined results. A null or empty text is one empty line. A row counts as one document, so a doc_id that
 occurs twice counts twice. A null doc_id is lower than any other; lines that only rows without an id hold stay. Lines
-whose key is short, or found in too few documents, stay. Very long texts take their lines as one array. An empty table
+whose key is short, or found in too few documents, stay. Very long texts take their lines as one array; the lines that one
+loses are found in a time that grows with their number, not with its square. An empty table
 gives an empty result. Extra columns stay; one named like a result column is replaced.
 """
 
@@ -34,9 +35,14 @@ def _row() -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, row, h1, h2): the distinct long-enough line keys of each row; row is a hash of its id and text."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.length(k) >= min_chars))
-    return docs.select("doc_id", _row().alias("row"), F.explode(F.transform(keys, _hash)).alias("h")).select("doc_id", "row", "h.*")
+    """(doc_id, row, h1, h2, at, first): a row for each line with a long enough key, `at` its place in the text, `first` true for
+    one of the lines of a text with the same key; row is a hash of the text and its id."""
+    keys = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(_key(x).alias("k"), i.alias("at"))), lambda s: F.length(s["k"]) >= min_chars)
+    every = F.transform(keys, lambda s: F.struct(_hash(s["k"]).alias("h"), s["at"].alias("at")))
+    lines = docs.select("doc_id", _row().alias("row"), F.sort_array(every).alias("s"))  # lines with one key are next to each other
+    first = lambda s, i: (i == 0) | (F.get("s", i - 1)["h"] != s["h"])
+    lines = lines.where(F.size("s") > 0).select("doc_id", "row", F.explode(F.transform("s", lambda s, i: F.struct(s["h"]["h1"].alias("h1"), s["h"]["h2"].alias("h2"), s["at"].alias("at"), first(s, i).alias("first")))).alias("l"))
+    return lines.select("doc_id", "row", "l.*")
 
 
 class LineRuns:
@@ -46,7 +52,7 @@ class LineRuns:
     largest doc_id as keeper, and as later batches have smaller ids only, no one contests that. A key that is held enters
     with its count alone. The two parts are stored as a run of level 0; once a level holds `fanout` runs they are merged
     into one run of the next, so a key is rewritten a logarithmic number of times. Each run is dealt by key and sorted
-    within its files, so the joins with it need no sort.
+    within its files, which keeps equal keys of a merge together; Spark still sorts for its joins, as plain files tell it no order.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
@@ -69,7 +75,7 @@ class LineRuns:
 
     def add(self, hashes: DataFrame) -> DataFrame:
         """Store a batch of line_hashes(), whose ids lie below those of all batches before; returns its fresh keys."""
-        batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        batch = hashes.groupBy(*KEY).agg(F.count_if("first").alias("n_docs"), F.max("doc_id").alias("keeper"))
         known = self.runs()
         if known is None:
             run = fresh = self._store(batch)
@@ -121,15 +127,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     heavy = cut(runs.totals().where(F.col("n_docs") >= min_docs).where("keeper is not null"), "line-heavy")
     total = heavy.agg(F.sum("n_docs")).first()[0] or 0
     drops = spread_join(hashes.drop("batch"), heavy, KEY, "n_docs", total).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = drops.groupBy(F.col("row").alias("_drop_row")).agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (F.length(_key(x)) < min_chars) | ~F.array_contains(F.col("_drop"), _hash(_key(x))))
-    )
-    joined = docs.join(drops.hint("shuffle_hash"), _row() == F.col("_drop_row"), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], F.size(lines).alias("n_lines"), kept.alias("_kept"))
-    changed = joined.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    return changed.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_kept")
+    drops = drops.groupBy(F.col("row").alias("_drop_row")).agg(F.collect_set("at").alias("_drop"))
+    joined = docs.join(drops, _row() == F.col("_drop_row"), "left").withColumn("_lines", _lines(F.col("text")))
+    # positions, as a set difference of whole numbers takes linear time; _lines is used twice, so it is split once
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
+    kept = F.when(F.col("_drop").isNotNull(), F.transform(places, lambda i: F.get("_lines", i)))
+    joined = joined.select(*[docs[c] for c in docs.columns], F.size("_lines").alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_lines") - F.size(places)).alias("n_dropped"), kept.alias("_kept"))
+    return joined.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_kept")
 
 
 def op9(docs: DataFrame) -> DataFrame:

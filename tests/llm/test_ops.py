@@ -145,6 +145,15 @@ def test_lines(spark, docs, rows):
     assert line_dedup.op9(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_lines_of_long_texts_and_repeats(spark):
+    line = [f"a common line number {k % 700} of this text" for k in range(5000)]
+    own = [*line, "short", "a line that only this text holds", "a line that only this text holds"]
+    df = spark.createDataFrame([(1, "\n".join(line)), (2, "\n".join(own)), (3, "\n".join(line[:700]).upper()), (4, "short\nshort")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [(got[i]["n_lines"], got[i]["n_dropped"]) for i in (1, 2, 3, 4)] == [(5000, 5000), (5003, 5000), (700, 0), (2, 0)]
+    assert got[2]["text"] == "short\n" + "\n".join(own[-2:]) and got[1]["text"] == "" and got[4]["text"] == "short\nshort"
+
+
 def test_line_runs_merge_levels(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for b in range(5):  # ids fall from batch to batch
