@@ -83,7 +83,7 @@ def contains_any(text: Column, words) -> Column:
 
 
 def readable(text: Column, most: int = 200) -> Column:
-    joined = F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim), lambda p: p != ""), "; ")
+    joined = F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda p: F.trim(p)), lambda p: p != ""), "; ")
     return F.when(F.length(joined) > most, F.concat(F.regexp_replace(F.substring(joined, 1, most), " [^ ]*$", ""), F.lit("…"))).otherwise(joined)
 
 

@@ -99,5 +99,5 @@ def parse_entries(entries: Column) -> Column:
     sector = lambda e: F.startswith(e, F.lit("SECTOR"))
     return F.struct(
         F.transform(F.filter(entries, lambda e: ~indirect(e) & ~sector(e)), bare).alias("direct"),
-        F.transform(F.filter(entries, indirect), bare).alias("indirect"), F.transform(F.filter(entries, sector), F.trim).alias("sector"),
+        F.transform(F.filter(entries, indirect), bare).alias("indirect"), F.transform(F.filter(entries, sector), lambda e: F.trim(e)).alias("sector"),
     )

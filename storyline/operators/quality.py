@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORPHANS = (("cleaned_news", "raw_news_id", "raw_news"), ("cluster_news_map", "cleaned_news_id", "cleaned_news"), ("cluster_news_map", "cluster_id", "event_clusters"), ("nodes", "cluster_id", "event_clusters"), ("timeline", "node_id", "nodes"))
@@ -41,6 +41,19 @@ def checks(t: dict[str, DataFrame]) -> DataFrame:
     return whole
 
 
+def repeated_keys(t: dict[str, DataFrame], most: int = 10) -> DataFrame:
+    """(check, place, key, n): the `most` smallest keys that each check of repeated rows finds, and how many rows have them.
+
+    A task hands on its smallest keys only, so no list of all of them is formed."""
+    out = None
+    for name, key in REPEATED:
+        found = t[name].groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").orderBy(*key).limit(most)
+        place = F.row_number().over(Window.orderBy(*key))  # of `most` rows
+        own = found.select(F.lit(f"{name} repeated {','.join(key)}").alias("check"), place.alias("place"), F.concat_ws(",", *[F.col(k).cast("string") for k in key]).alias("key"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def health(report: DataFrame) -> DataFrame:
     """One row: errors, warnings or healthy, with the issues by severity."""
     n = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("issues"))), F.lit(0))

@@ -40,14 +40,6 @@ def confidence_summary(nodes: DataFrame, impact: DataFrame, signals: DataFrame)
     return rows.where(c.isNotNull()).groupBy("node_id").agg(F.round(F.min(c), 3).alias("least"), F.round(F.max(c), 3).alias("most"), F.round(F.avg(c), 3).alias("mean"), F.count("*").alias("n"))
 
 
-def unified(nodes: DataFrame, edges: DataFrame, impact: DataFrame, signals: DataFrame) -> DataFrame:
-    """One nested record a node; all inputs meet on node_id."""
-    own = signals.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence_score")).alias("minus_confidence"), "signal_type", "phrase"))).alias("signals"))
-    event = F.struct("entity", "event_type", label_of(F.col("event_type"), EVENT_LABELS, F.lit("Development / Update")).alias("event_type_label"), label_of(F.col("impact_type"), IMPACT_LABELS, F.coalesce("impact_type", F.lit(""))).alias("impact_label"), readable(F.col("description")).alias("description"), iso_time(F.col("timestamp")).alias("timestamp"))
-    out = nodes.select(F.col("id").alias("node_id"), event.alias("event")).join(connections(nodes, edges, 5), "node_id", "left").join(impact_report(nodes, impact).withColumn("impact", F.struct("available", *LISTS)).select("node_id", "impact"), "node_id", "left")
-    return out.join(own, "node_id", "left").join(confidence_summary(nodes, impact, signals), "node_id", "left")
-
-
 def signal_parts(phrase: Column) -> Column:
     """Struct (strength, keyword) of a signal text such as `[STRONG] crisis (sources 3)`; without a label the whole is the keyword."""
     rest = F.trim(F.regexp_replace(phrase, r"^\[[^\]]*\]", ""))
@@ -75,3 +67,49 @@ def timeline_report(nodes: DataFrame, timeline: DataFrame, edges: DataFrame, mos
     sizes = timeline.groupBy("timeline_group_id").agg(F.count("*").alias("total_events"))
     entries = timeline.select("timeline_group_id", "node_id", F.col("position_index").alias("position"))
     return entries.join(own, "node_id").join(best, "node_id", "left").join(sizes, "timeline_group_id")
+
+
+def records(nodes: DataFrame, timeline: DataFrame, edges: DataFrame, impact: DataFrame, signals: DataFrame, articles: DataFrame, most: int = 5) -> DataFrame:
+    """One nested record a node: event, timeline, impact, signals, metadata.
+
+    All tables become rows of one node key that are dealt once; places of edges and signals are numbered in that order,
+    and one grouping puts the record together, so of a hub's edges only the `most` surest are ever gathered. The entries
+    of a whole timeline are those of timeline_report; a record holds its node's own place and connections.
+    articles: cluster_id, source. Of several timeline or impact rows of a node the smallest id counts.
+    """
+    sizes = timeline.groupBy("timeline_group_id").agg(F.count("*").alias("total_events"))
+    places = timeline.join(sizes, "timeline_group_id").select("node_id", F.struct("id", "timeline_group_id", F.col("position_index").alias("position"), "total_events").alias("timeline"))
+    sources = articles.groupBy("cluster_id").agg(F.count_distinct("source").alias("data_sources"))
+    event = F.struct(
+        F.coalesce("entity", F.lit("")).alias("entity"), F.coalesce("event_type", F.lit("update")).alias("event_type"), label_of(F.col("event_type"), EVENT_LABELS, F.lit("Development / Update")).alias("event_type_label"),
+        label_of(F.col("impact_type"), IMPACT_LABELS, F.coalesce("impact_type", F.lit(""))).alias("impact_classification"), readable(F.col("description")).alias("description"), iso_time(F.col("timestamp")).alias("timestamp"),
+        "is_anchor", "confidence_score", F.coalesce("data_sources", F.lit(0)).alias("data_sources"), iso_time(F.col("created_at")).alias("last_updated"),
+    )
+    lists = {k: parse_entries(F.col(k)) for k in LISTS}
+    term = lambda part, side: F.struct(*[lists[f"{part}_{who}"][kind].alias(f"{kind}_{who}") for who in ("winners", "losers") for kind in ("direct", "indirect")]).alias(side)
+    sectors = F.array_sort(F.array_distinct(F.concat(*[lists[k]["sector"] for k in LISTS])))
+    effects = F.struct("id", "confidence_score", term("short_term", "short_term"), term("long_term", "long_term"), sectors.alias("sector_impacts"))
+    part = signal_parts(F.coalesce("phrase", F.lit("")))
+    signal = F.struct("signal_type", part["strength"].alias("strength"), part["keyword"].alias("keyword"), F.coalesce("entity", F.lit("")).alias("entity"), "source_count", "time_span", "confidence_score")
+    link = F.struct(F.col("to_node_id").alias("target_node_id"), F.col("relation_type").alias("relation"), F.col("confidence_score").alias("confidence"))
+    tagged = [
+        nodes.join(sources, "cluster_id", "left").select(F.col("id").alias("node_id"), F.lit("event").alias("kind"), F.col("confidence_score").alias("sure"), event.alias("event")),
+        places.select("node_id", F.lit("timeline").alias("kind"), "timeline"),
+        impact.select("node_id", F.lit("impact").alias("kind"), F.col("confidence_score").alias("sure"), effects.alias("impact")),
+        signals.select("node_id", F.lit("signal").alias("kind"), F.col("confidence_score").alias("sure"), F.struct("signal_type", "phrase").alias("tie"), signal.alias("signal")),
+        edges.select(F.col("from_node_id").alias("node_id"), F.lit("link").alias("kind"), F.col("confidence_score").alias("sure"), F.struct(F.col("to_node_id").cast("string").alias("signal_type"), F.lpad(F.col("to_node_id").cast("string"), 20, "0").alias("phrase")).alias("tie"), link.alias("link")),
+    ]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionByName(t, allowMissingColumns=True)
+    order = Window.partitionBy("node_id", "kind").orderBy(F.desc_nulls_last("sure"), "tie.phrase", "tie.signal_type")
+    every = every.repartition("node_id").withColumn("n", F.row_number().over(order)).where((F.col("kind") != "link") | (F.col("n") <= most))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("n", c)))), lambda s: s[c])
+    scored = F.when(F.col("kind") != "link", F.col("sure"))
+    out = every.groupBy("node_id").agg(
+        F.first("event", True).alias("event"), F.min("timeline").alias("t"), listed("link").alias("causal_connections"), F.min("impact").alias("impact"), listed("signal").alias("signals"),
+        F.struct(F.round(F.min(scored), 3).alias("least"), F.round(F.max(scored), 3).alias("most"), F.round(F.avg(scored), 3).alias("mean"), F.count(scored).alias("n")).alias("confidence"),
+    ).where("event is not null")
+    timeline_part = F.struct("t.timeline_group_id", "t.position", F.coalesce("t.total_events", F.lit(0)).alias("total_events"), "causal_connections").alias("timeline")
+    meta = F.struct("confidence", "event.data_sources", "event.last_updated").alias("metadata")
+    return out.select("node_id", F.col("event").dropFields("data_sources", "last_updated").alias("event"), timeline_part, F.col("impact").dropFields("id").alias("impact"), "signals", meta)

@@ -59,6 +59,8 @@ def _nodes(s, d) -> DataFrame:
     return n.select("id", F.col("id").alias("cluster_id"), F.col("source").alias("entity"), F.lit("topic").alias("entity_type"), F.lit("update").alias("event_type"), F.col("title").alias("description"), F.col("published_at").alias("timestamp"), F.lit("neutral").alias("impact_type"), F.lit(0.7).alias("confidence_score"), (F.col("id") % 10 == 0).alias("is_anchor"), "created_at")
 
 
+_ED = ("ed0 AS (SELECT id AS a, id + id % 4 * 5 AS b, (id % 12) / 10.0::DOUBLE AS c FROM news), ed AS (SELECT * FROM ed0 UNION ALL SELECT * FROM ed0 WHERE a % 9 = 0"
+    + "".join(f" UNION ALL SELECT id, id + {k}, (id % {k}) / {k}.0::DOUBLE FROM news" for k in (7, 8, 9)) + ")")
 _NODES = "nodes AS (SELECT id, id AS cluster_id, source AS entity, 'update' AS event_type, title AS description, published_at AS timestamp, 0.7::DOUBLE AS confidence_score, id % 10 = 0 AS is_anchor FROM news)"
 
 
@@ -91,12 +93,17 @@ def _derived(s, d) -> dict[str, DataFrame]:
     n, nodes = news(s, d), _nodes(s, d)
     nid = F.col("id").alias("node_id")
     edges = n.select("id", F.col("id").alias("from_node_id"), (F.col("id") + F.col("id") % 4 * 5).alias("to_node_id"), (F.col("id") % 12 / 10).alias("confidence_score"))
+    more = [n.select("id", F.col("id").alias("from_node_id"), (F.col("id") + k).alias("to_node_id"), (F.col("id") % k / k).alias("confidence_score")) for k in (7, 8, 9)]
+    edges = edges.unionByName(more[0]).unionByName(more[1]).unionByName(more[2]).unionByName(edges.where("id % 9 = 0"))
+    nodes = nodes.withColumn("entity", F.when(F.col("id") % 11 > 0, F.col("entity")))
+    again = nodes.where("id % 13 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("is_anchor", F.lit(False))
+    impact = n.where("id % 3 = 0").select("id", nid, F.lit(0.5).alias("confidence_score"))
     return {
         "raw_news": n.where("id % 7 > 0"), "cleaned_news": n.where("id % 3 > 0").select("id", F.col("id").alias("raw_news_id")), "event_clusters": n.where("id % 5 > 0").select("id"),
         "cluster_news_map": n.where("id % 4 > 0").select("id", F.col("id").alias("cluster_id"), F.col("id").alias("cleaned_news_id")),
-        "nodes": nodes.withColumn("entity", F.when(F.col("id") % 11 > 0, F.col("entity"))), "edges": edges,
+        "nodes": nodes.unionByName(again), "edges": edges,
         "timeline": n.where("id % 2 = 0").select("id", nid, (F.col("id") % 100).cast("int").alias("position_index"), F.col("source").alias("timeline_group_id")),
-        "impact": n.where("id % 3 = 0").select("id", nid, F.lit(0.5).alias("confidence_score")), "signals": n.where("id % 6 = 1").select("id", (F.col("id") + 3).alias("node_id"), F.lit(1.5).alias("confidence_score")),
+        "impact": impact.unionByName(impact.where("id % 12 = 0")), "signals": n.where("id % 6 = 1").select("id", (F.col("id") + 3).alias("node_id"), F.lit(1.5).alias("confidence_score")),
     }
 
 
@@ -145,6 +152,32 @@ def timeline_entries(s, d) -> DataFrame:
     return out.select("timeline_group_id", "node_id", "position", "entity", "event_label", "total_events", F.array_join(F.transform("causal_connections", lambda x: x["target_node_id"].cast("string")), ",").alias("targets"))
 
 
+def repeated_keys(s, d) -> DataFrame:
+    return Q.repeated_keys(_derived(s, d))
+
+
+def node_records(s, d) -> DataFrame:
+    n, t = news(s, d), _derived(s, d)
+    nodes = t["nodes"].where("id = cluster_id").withColumn("event_type", F.when(F.col("id") % 4 == 0, "trigger")).withColumn("created_at", F.col("timestamp"))
+    lists = {k: F.array(F.concat(F.lit("DIRECT: "), "source", F.lit(" traders")), F.concat(F.lit("SECTOR [x]: "), "source")) for k in LISTS}
+    effects = n.where("id % 3 = 0").select("id", F.col("id").alias("node_id"), F.lit(0.5).alias("confidence_score"), *[c.alias(k) for k, c in lists.items()])
+    found = S.detect(n, F.col("title")).select(F.col("id").alias("node_id"), "signal_type", F.concat(F.lit("[WEAK] "), F.col("phrase"), F.lit(" (sources 1)")).alias("phrase"), F.col("source").alias("entity"), F.lit(1).alias("source_count"), F.lit("unknown").alias("time_span"), F.col("weight").alias("confidence_score"))
+    out = R.records(nodes, t["timeline"], t["edges"].withColumn("relation_type", F.lit("causes")), effects, found, n.select(F.col("id").alias("cluster_id"), "source"), most=2)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select(
+        "node_id", "event.entity", F.col("event.event_type_label").alias("event_label"), "timeline.timeline_group_id", "timeline.position", "timeline.total_events",
+        joined("timeline.causal_connections", lambda x: x["target_node_id"].cast("string")).alias("targets"), joined("impact.short_term.direct_winners", lambda x: x).alias("direct_winners"), joined("impact.sector_impacts", lambda x: x).alias("sectors"),
+        F.nullif(joined("signals", lambda x: F.concat_ws(":", x["keyword"], x["strength"])), F.lit("")).alias("signals"), "metadata.confidence.*", "metadata.data_sources",
+    )
+
+
+def expansion_candidates(s, d) -> DataFrame:
+    n = news(s, d)
+    bases = n.select(F.col("id").alias("node_id"), F.col("id").alias("cluster_id"), F.get(F.split("title", " "), 0).alias("entity"), F.col("published_at").alias("timestamp"))
+    about = n.select(F.col("id").alias("cluster_id"), F.substring("title", 1, 40).alias("main_topic"), F.col("published_at").alias("latest_ts"))
+    return E.candidates(bases, about, days=0.25).select("node_id", "to_cluster")
+
+
 def signal_places(s, d) -> DataFrame:
     found = S.detect(news(s, d), F.col("title")).select(F.col("id").alias("node_id"), "signal_type", F.concat(F.lit("[WEAK] "), F.col("phrase"), F.lit(" (sources 1)")).alias("phrase"), F.col("source").alias("entity"), F.lit(1).alias("source_count"), F.lit("unknown").alias("time_span"), F.col("weight").alias("confidence_score"))
     return R.signal_report(found).select("node_id", "place", "signal_type", "strength", "keyword", "entity", "confidence_score")
@@ -153,7 +186,7 @@ def signal_places(s, d) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         preprocessed, unprocessed, whole_impact_lists, text_parts, trigram_pairs, upserted_nodes, upserted_impact, upserted_signals, confidence_summary, quality_checks, table_rows, quality_health,
-        cluster_profiles, cluster_contexts, cluster_spans, missing_nodes, near_positions, timeline_entries, signal_places,
+        cluster_profiles, cluster_contexts, cluster_spans, missing_nodes, near_positions, timeline_entries, signal_places, repeated_keys, node_records, expansion_candidates,
     )}
 
 
@@ -178,21 +211,21 @@ def oracle_sql() -> dict[str, str]:
     first = "list_filter(ev, lambda e: e.n = list_max(list_transform(ev, lambda x: x.n)))[1]"
     detected = _PHRASES + ", t AS (SELECT *, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9'']+'))) AS phrase FROM news), f AS (SELECT * FROM t JOIN p USING (phrase))"
     faults = """raw_news AS (SELECT id FROM news WHERE id % 7 > 0), cleaned AS (SELECT id FROM news WHERE id % 3 > 0), ec AS (SELECT id FROM news WHERE id % 5 > 0), cm AS (SELECT id FROM news WHERE id % 4 > 0),
-        tl AS (SELECT id, id % 100 AS p, source AS g FROM news WHERE id % 2 = 0), im AS (SELECT id FROM news WHERE id % 3 = 0), sg AS (SELECT id, id + 3 AS node_id FROM news WHERE id % 6 = 1),
-        ed AS (SELECT id AS a, id + id % 4 * 5 AS b, (id % 12) / 10.0::DOUBLE AS c FROM news)"""
+        tl AS (SELECT id, id % 100 AS p, source AS g FROM news WHERE id % 2 = 0), im AS (SELECT id FROM news WHERE id % 3 = 0 UNION ALL SELECT id FROM news WHERE id % 12 = 0), sg AS (SELECT id, id + 3 AS node_id FROM news WHERE id % 6 = 1),
+        nd AS (SELECT id, id AS cluster_id, source FROM news UNION ALL SELECT id + 1000000, id, source FROM news WHERE id % 13 = 0), {ed}""".replace("{ed}", _ED)
     lost = lambda child, key, parent: f"SELECT count(*) FROM {child} WHERE {key} NOT IN (SELECT id FROM {parent})"
     every = [
         ("cleaned_news.raw_news_id without raw_news", "error", lost("cleaned", "id", "raw_news")), ("cluster_news_map.cleaned_news_id without cleaned_news", "error", lost("cm", "id", "cleaned")),
-        ("cluster_news_map.cluster_id without event_clusters", "error", lost("cm", "id", "ec")), ("nodes.cluster_id without event_clusters", "error", lost("news", "id", "ec")),
-        ("timeline.node_id without nodes", "error", lost("tl", "id", "news")), ("edges.from_node_id without nodes", "error", lost("ed", "a", "news")), ("edges.to_node_id without nodes", "error", lost("ed", "b", "news")),
-        ("impact.node_id without nodes", "error", lost("im", "id", "news")), ("signals.node_id without nodes", "error", lost("sg", "node_id", "news")),
-        ("nodes repeated cluster_id", "warning", "SELECT count(*) FROM (SELECT id FROM news GROUP BY id HAVING count(*) > 1)"), ("edges repeated from_node_id,to_node_id", "warning", "SELECT count(*) FROM (SELECT a FROM ed GROUP BY a, b HAVING count(*) > 1)"),
+        ("cluster_news_map.cluster_id without event_clusters", "error", lost("cm", "id", "ec")), ("nodes.cluster_id without event_clusters", "error", lost("nd", "cluster_id", "ec")),
+        ("timeline.node_id without nodes", "error", lost("tl", "id", "nd")), ("edges.from_node_id without nodes", "error", lost("ed", "a", "nd")), ("edges.to_node_id without nodes", "error", lost("ed", "b", "nd")),
+        ("impact.node_id without nodes", "error", lost("im", "id", "nd")), ("signals.node_id without nodes", "error", lost("sg", "node_id", "nd")),
+        ("nodes repeated cluster_id", "warning", "SELECT count(*) FROM (SELECT cluster_id FROM nd GROUP BY cluster_id HAVING count(*) > 1)"), ("edges repeated from_node_id,to_node_id", "warning", "SELECT count(*) FROM (SELECT a FROM ed GROUP BY a, b HAVING count(*) > 1)"),
         ("impact repeated node_id", "warning", "SELECT count(*) FROM (SELECT id FROM im GROUP BY id HAVING count(*) > 1)"), ("timeline repeated timeline_group_id,position_index", "warning", "SELECT count(*) FROM (SELECT g FROM tl GROUP BY g, p HAVING count(*) > 1)"),
-        ("nodes.entity empty", "warning", "SELECT count(*) FROM news WHERE id % 11 = 0 OR trim(coalesce(source, '')) = ''"), ("nodes.event_type empty", "warning", "SELECT 0"), ("nodes.confidence_score out of range", "error", "SELECT 0"),
+        ("nodes.entity empty", "warning", "SELECT count(*) FROM nd WHERE cluster_id % 11 = 0 OR trim(coalesce(source, '')) = ''"), ("nodes.event_type empty", "warning", "SELECT 0"), ("nodes.confidence_score out of range", "error", "SELECT 0"),
         ("edges.confidence_score out of range", "error", "SELECT count(*) FROM ed WHERE c > 1"), ("impact.confidence_score out of range", "error", "SELECT 0"), ("signals.confidence_score out of range", "error", "SELECT count(*) FROM sg"),
         ("edges self-loop", "warning", "SELECT count(*) FROM ed WHERE a = b"), ("timeline position gap", "info", "SELECT count(*) FROM (SELECT g FROM tl GROUP BY g HAVING max(p) > count(*) - 1)"),
         ("nodes more than one anchor", "info", "SELECT count(*) FROM (SELECT count(*) AS n FROM news WHERE id % 10 = 0) WHERE n > 1"), ("event_clusters without news", "info", lost("ec", "id", "cm")),
-        ("nodes without timeline, impact and signal", "info", "SELECT count(*) FROM news WHERE id NOT IN (SELECT id FROM tl) AND id NOT IN (SELECT id FROM im) AND id NOT IN (SELECT node_id FROM sg)"),
+        ("nodes without timeline, impact and signal", "info", "SELECT count(*) FROM nd WHERE id NOT IN (SELECT id FROM tl) AND id NOT IN (SELECT id FROM im) AND id NOT IN (SELECT node_id FROM sg)"),
     ]
     report = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", '{v}' AS severity, ({n})::BIGINT AS issues" for c, v, n in every)
     total = lambda v: f"coalesce(sum(issues) FILTER (WHERE severity = '{v}'), 0)::BIGINT"
@@ -212,13 +245,22 @@ def oracle_sql() -> dict[str, str]:
         "confidence_summary": _q("SELECT id AS node_id, round(min(c), 3) AS least, round(max(c), 3) AS most, round(avg(c), 3) AS mean, count(*) AS n FROM (SELECT id, 0.7::DOUBLE AS c FROM news UNION ALL SELECT id, (id % 9) / 9.0::DOUBLE FROM news WHERE id % 3 > 0 UNION ALL SELECT id, weight FROM f) GROUP BY id", detected),
         "quality_checks": _q(report, faults),
         "quality_health": _q(f"SELECT {total('error')} AS errors, {total('warning')} AS warnings, {total('info')} AS infos, CASE WHEN {total('error')} > 0 THEN 'errors' WHEN {total('warning')} > 0 THEN 'warnings' ELSE 'healthy' END AS health FROM ({report})", faults),
-        "table_rows": _q(" UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {t}) AS n" for n, t in (("raw_news", "raw_news"), ("cleaned_news", "cleaned"), ("event_clusters", "ec"), ("cluster_news_map", "cm"), ("nodes", "news"), ("edges", "ed"), ("timeline", "tl"), ("impact", "im"), ("signals", "sg"))), faults),
+        "table_rows": _q(" UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {t}) AS n" for n, t in (("raw_news", "raw_news"), ("cleaned_news", "cleaned"), ("event_clusters", "ec"), ("cluster_news_map", "cm"), ("nodes", "nd"), ("edges", "ed"), ("timeline", "tl"), ("impact", "im"), ("signals", "sg"))), faults),
         "cluster_profiles": _q("SELECT w.cluster_id, words, texts FROM (SELECT id % 40 AS cluster_id, array_to_string(list_sort(list_distinct(flatten(list(k)))), ' ') AS words FROM v GROUP BY 1) w JOIN (SELECT id % 40 AS cluster_id, string_agg(t, '|' ORDER BY id) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY id % 40 ORDER BY id) AS n FROM v) WHERE n <= 3 GROUP BY 1) x ON x.cluster_id = w.cluster_id", f"v AS (SELECT id, {keywords} AS k, {NORM.format('title')} AS t FROM news)"),
         "cluster_contexts": _q(f"SELECT id % 40 AS cluster_id, max(coalesce(published_at, created_at)) AS latest_ts, md5(string_agg({NORM.format('title')}, ' ' ORDER BY id)) AS context FROM news GROUP BY 1"),
         "cluster_spans": _q("SELECT id % 40 AS cluster_id, min(coalesce(published_at, created_at)) AS first_ts, max(coalesce(published_at, created_at)) AS last_ts, count(DISTINCT source) AS source_count FROM news GROUP BY 1"),
         "missing_nodes": _q(f"SELECT -id - 1 AS id, id AS cluster_id, CASE WHEN id % 6 > 0 THEN string_split(title, ' ')[1] ELSE 'event' END AS entity, 'expansion' AS event_type, md5(coalesce(nullif(substr(content, 1, 1000), ''), {topic})) AS description, coalesce(published_at, TIMESTAMP '{AS_OF}') AS timestamp, 0.6::DOUBLE AS confidence_score FROM news WHERE id % 2 <> 0"),
         "near_positions": _q("SELECT a.id, b.id AS other, b.p AS place FROM o a JOIN o b ON b.p BETWEEN a.p + 1 AND a.p + 5 AND coalesce(a.published_at >= b.published_at, true)", "o AS (SELECT id, published_at, CAST(row_number() OVER (ORDER BY id = (SELECT id FROM news ORDER BY published_at DESC NULLS LAST, id LIMIT 1) DESC, published_at DESC NULLS LAST, id) - 1 AS INTEGER) AS p FROM news)"),
-        "timeline_entries": _q("SELECT source AS timeline_group_id, id AS node_id, CAST(id % 100 AS INTEGER) AS position, source AS entity, 'Development / Update' AS event_label, count(*) OVER (PARTITION BY source) AS total_events, CAST(id + id % 4 * 5 AS VARCHAR) AS targets FROM news WHERE id % 2 = 0"),
+        "timeline_entries": _q("SELECT source AS timeline_group_id, id AS node_id, CAST(id % 100 AS INTEGER) AS position, source AS entity, 'Development / Update' AS event_label, count(*) OVER (PARTITION BY source) AS total_events, targets FROM news JOIN (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY c DESC, b) AS targets FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM ed) WHERE k <= 2 GROUP BY a) ON a = id WHERE id % 2 = 0", _ED),
+        "repeated_keys": _q(" UNION ALL ".join(f"SELECT '{name} repeated {label}' AS \"check\", CAST(row_number() OVER (ORDER BY {key}) AS INTEGER) AS place, {text} AS \"key\", count(*) AS n FROM {t} GROUP BY {key} HAVING count(*) > 1 QUALIFY row_number() OVER (ORDER BY {key}) <= 10"
+            for name, label, t, key, text in (("nodes", "cluster_id", "nd", "cluster_id", "CAST(cluster_id AS VARCHAR)"), ("edges", "from_node_id,to_node_id", "ed", "a, b", "a || ',' || b"), ("impact", "node_id", "im", "id", "CAST(id AS VARCHAR)"), ("timeline", "timeline_group_id,position_index", "tl", "g, p", "g || ',' || p"))), faults),
+        "node_records": _q(f"""SELECT n.id AS node_id, coalesce(CASE WHEN n.id % 11 > 0 THEN source END, '') AS entity, CASE WHEN n.id % 4 = 0 THEN '{EVENT_LABELS["trigger"]}' ELSE 'Development / Update' END AS event_label, CASE WHEN n.id % 2 = 0 THEN source END AS timeline_group_id, CASE WHEN n.id % 2 = 0 THEN CAST(n.id % 100 AS INTEGER) END AS position, coalesce(g.total, 0) AS total_events,
+            targets, i.direct AS direct_winners, i.sector AS sectors, s.items AS signals, c.least, c.most, c.mean, c.n, 1::BIGINT AS data_sources FROM news n LEFT JOIN (SELECT source AS g, count(*) AS total FROM news WHERE id % 2 = 0 GROUP BY 1) g ON n.id % 2 = 0 AND g.g = n.source
+            LEFT JOIN (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY c DESC, b) AS targets FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, lpad(CAST(b AS VARCHAR), 20, '0')) AS k FROM ed) WHERE k <= 2 GROUP BY a) e ON e.a = n.id
+            LEFT JOIN (SELECT id, source || ' traders' AS direct, 'SECTOR [x]: ' || source AS sector FROM news WHERE id % 3 = 0) i ON i.id = n.id LEFT JOIN (SELECT id, string_agg(phrase || ':WEAK', ',' ORDER BY weight DESC, phrase) AS items FROM f GROUP BY id) s ON s.id = n.id
+            JOIN (SELECT id, round(min(c), 3) AS least, round(max(c), 3) AS most, round(avg(c), 3) AS mean, count(*) AS n FROM (SELECT id, 0.7::DOUBLE AS c FROM news UNION ALL SELECT id, 0.5::DOUBLE FROM news WHERE id % 3 = 0 UNION ALL SELECT id, weight FROM f) GROUP BY id) c ON c.id = n.id""", _ED + ", " + detected),
+        "expansion_candidates": _q("SELECT DISTINCT x.id AS node_id, y.id AS to_cluster FROM a x JOIN a y ON x.word = y.topic AND x.id <> y.id AND abs(epoch_us(x.published_at) - epoch_us(y.published_at)) <= 21600000000",
+            f"e AS (SELECT id, published_at, unnest({TERMS.format("string_split(title, ' ')[1]")}) AS word FROM news WHERE published_at IS NOT NULL), t AS (SELECT id, published_at, unnest({TERMS.format('substr(title, 1, 40)')}) AS topic FROM news WHERE published_at IS NOT NULL), a AS (SELECT id, published_at, word, NULL AS topic FROM e UNION ALL SELECT id, published_at, NULL, topic FROM t)"),
         "signal_places": _q("SELECT id AS node_id, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, signal_type, '[WEAK] ' || phrase || ' (sources 1)') AS INTEGER) AS place, signal_type, 'WEAK' AS strength, phrase AS keyword, source AS entity, weight AS confidence_score FROM f", detected),
         "entities": _q("SELECT id, entity, n_entities FROM e3", entity_sql()),
         "stated_causes": _q("SELECT id, entity, -c.m AS confidence, c.event AS event, c.trigger AS trigger, c.predecessor AS predecessor, title AS evidence FROM s3", entity_sql() + ", " + cause_sql()),

@@ -202,8 +202,9 @@ def test_impact_blend_and_parse(spark):
     row = one(spark, lists)
     assert "ININDIRECT (secondary): cybersecurity & surveillance firms" in row["short_term_winners"]
     assert "SECTOR [energy]: energy traders" in row["short_term_winners"]
-    got = one(spark, impact.parse_entries(F.array(F.lit("DIRECT: a"), F.lit("INDIRECT (secondary): b"), F.lit("SECTOR [x]: c"))))
-    assert (got["direct"], got["indirect"], got["sector"]) == (["a"], ["b"], ["SECTOR [x]: c"])
+    got = one(spark, impact.parse_entries(F.array(F.lit("DIRECT: a"), F.lit("INDIRECT (secondary): b"), F.lit("SECTOR [x]: c0 "), F.lit("SECTOR 1"))))
+    assert (got["direct"], got["indirect"], got["sector"]) == (["a"], ["b"], ["SECTOR [x]: c0", "SECTOR 1"])
+    assert one(spark, T.readable(F.lit(" 10 | | 21 "))) == "10; 21"
 
 
 @pytest.mark.parametrize("score,label", [(0.6, "STRONG"), (0.599, "MEDIUM"), (0.35, "MEDIUM"), (0.349, "WEAK")])
@@ -229,9 +230,14 @@ def test_reports_and_expansion(spark):
     at = datetime(2024, 1, 1)
     nodes = spark.createDataFrame([(1, 1, "Iran", "trigger", "a|b", at, "supply", 0.8), (2, 2, "Iraq", "update", "c", at, None, 0.6)], "id long, cluster_id long, entity string, event_type string, description string, timestamp timestamp, impact_type string, confidence_score double")
     edges = spark.createDataFrame([(1, 2, "causes", 0.9)], "from_node_id long, to_node_id long, relation_type string, confidence_score double")
-    none_i, none_s = spark.createDataFrame([], TABLES["impact"]), spark.createDataFrame([], TABLES["signals"])
-    rows = {r["node_id"]: r for r in reports.unified(nodes, edges, none_i, none_s).collect()}
-    assert rows[1]["causes"][0]["id"] == 2 and rows[2]["caused_by"][0]["id"] == 1 and rows[1]["event"]["description"] == "a; b"
+    rows = {r["node_id"]: r for r in reports.connections(nodes, edges).collect()}
+    assert rows[1]["causes"][0]["id"] == 2 and rows[2]["caused_by"][0]["id"] == 1
+    nodes = nodes.withColumn("is_anchor", F.lit(False)).withColumn("created_at", F.col("timestamp"))
+    none = lambda k: spark.createDataFrame([], TABLES[k])
+    news = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "cluster_id long, source string")
+    rows = {r["node_id"]: r for r in reports.records(nodes, none("timeline"), edges, none("impact"), none("signals"), news).collect()}
+    assert set(rows) == {1, 2} and rows[1]["event"]["description"] == "a; b" and [x["target_node_id"] for x in rows[1]["timeline"]["causal_connections"]] == [2]
+    assert (rows[1]["metadata"]["data_sources"], rows[2]["metadata"]["data_sources"], rows[1]["impact"], rows[1]["timeline"]["total_events"]) == (2, 0, None, 0)
 
 
 def grown(spark, texts, nodes, edges=(), **how):
