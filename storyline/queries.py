@@ -10,6 +10,7 @@ from .functions import text as T
 from .lexicons import CUES, EVENT_KEYWORDS, EVENT_TYPES, HEADLINE_STOPWORDS, KEYWORD_STOPWORDS, NEGATIVE, POSITIVE, SECTOR_KEYWORDS, SIGNAL_PHRASES
 from .news import AS_OF, NEWS_SQL, news
 from .operators import articles as A
+from .operators import expand as E
 from .operators import headlines as H
 from .operators import impact as I
 from .operators import search as R
@@ -151,6 +152,29 @@ def kept_articles(s, d) -> DataFrame:
     return n.select("id").join(H.duplicates(n)[0], "id", "left_anti")
 
 
+def second_run(s, d) -> DataFrame:
+    """Articles that two runs keep: a third of them first, the others against the index of the kept headlines."""
+    n = news(s, d)
+    one, two = n.where("id % 3 = 0"), n.where("id % 3 <> 0")
+    gone, index = H.duplicates(one)
+    more, _ = H.duplicates(two, index=index)
+    return n.select("id").join(gone.unionByName(more), "id", "left_anti")
+
+
+def headline_clusters(s, d) -> DataFrame:
+    """Clusters of all articles by their whole headlines: as keywords and as the text that is compared."""
+    return A.cluster_articles(news(s, d).withColumn("normalized_text", T.normalize_text(T.clean_text(F.col("title")))))
+
+
+def expansion_edges(s, d) -> DataFrame:
+    """Edges from the nodes of the articles with even ids; every article is a cluster, its headline the topic and the text."""
+    n = news(s, d).withColumn("cluster_id", F.col("id")).withColumn("normalized_text", T.normalize_text(T.clean_text(F.col("title"))))
+    about = E.outlines(n).join(n.select("cluster_id", F.col("title").alias("main_topic")), "cluster_id")
+    nodes = n.where("id % 2 = 0").select("id", "cluster_id", F.get(F.split("title", " "), 0).alias("entity"), F.col("published_at").alias("timestamp"))
+    known = nodes.select(F.col("id").alias("from_node_id"), (F.col("id") + 10).alias("to_node_id"), F.lit("causes").alias("relation_type"))
+    return E.expand(nodes, about, n, nodes, known, days=1).select("from_node_id", "to_node_id", "made")
+
+
 def _nodes(s, d) -> DataFrame:
     m = news(s, d).withColumn("cluster_id", F.col("id"))
     topics = m.select("cluster_id", F.array_join(F.slice(T.keywords(F.col("title")), 1, 3), " ").alias("main_topic"), T.cluster_key(T.keywords(F.col("title"))).alias("cluster_key"))
@@ -182,7 +206,7 @@ def queries() -> dict:
     return store_queries.queries() | {k: globals()[k] for k in (
         "signal_strength", "article_keys", "clean_articles", "page_sources", "headline_tokens", "article_keywords", "exact_headlines", "new_rows", "similarity_pairs", "signal_phrases",
         "impact_types", "impact_lists", "event_types", "entities", "stated_causes", "cluster_stats", "cluster_topics", "cluster_titles", "keyword_overlaps", "kept_articles", "timeline_order",
-        "causal_edges", "event_search", "node_signals",
+        "causal_edges", "event_search", "node_signals", "second_run", "headline_clusters", "expansion_edges",
     )}
 
 

@@ -171,6 +171,39 @@ def test_character_counts_bound_the_ratio(spark):
     assert all(r["r"] + 1e-12 >= SequenceMatcher(None, r["a"], r["b"]).quick_ratio() for r in rows) and sum(r["r"] < 0.6 for r in rows) > 20
 
 
+@pytest.mark.parametrize("chained", [False, True])
+def test_clusters_equal_rule(spark, chained):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfgkp" for b in "aeo" for c in "lmnrst"]
+    rows = [(i, " ".join(rng.choices(words[i % 9 * 9 :][:36], k=5)), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)]
+    key = {i: {w for w in f"{t} {x}".split()[:20]} for i, t, x in rows}
+    over = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0.0
+    score = {(a[0], b[0]): 0.6 * over(key[a[0]], key[b[0]]) + 0.4 * SequenceMatcher(None, b[2], a[2]).ratio() for a in rows for b in rows if a[0] < b[0]}
+    of, leaders = {}, []
+    for i, *_ in rows:
+        best = max(((score[a, i], -a) for a in leaders if score[a, i] >= 0.6), default=None)
+        of[i] = -best[1] if best else i
+        leaders += [] if best else [i]
+    if chained:
+        for _ in rows:
+            for (a, b), s in score.items():
+                if s >= 0.6:
+                    of[a] = of[b] = min(of[a], of[b])
+    while True:
+        union = {c: set().union(*(key[i] for i in of if of[i] == c)) for c in set(of.values())}
+        hits = [(a, b) for a in union for b in union if a < b and over(union[a], union[b]) >= 0.8]
+        if not hits:
+            break
+        to = {c: c for c in union}
+        for _ in union:
+            for a, b in hits:
+                to[a] = to[b] = min(to[a], to[b])
+        of = {i: to[c] for i, c in of.items()}
+    df = spark.createDataFrame(rows, "id long, title string, normalized_text string")
+    got = {r["id"]: r["cluster_id"] for r in articles.cluster_articles(df, 0.6, 0.8, chained=chained).collect()}
+    assert got == of and (chained or len(set(of.values())) > 5)
+
+
 def test_items_join_their_best_stored_cluster(spark):
     members = [(1, 10, "Oil prices surge", "oil prices surge again in the gulf"), (1, 11, "Oil price shock", "oil prices fall"), (2, 12, "Cup final tonight", "the cup final is tonight"), (3, 13, None, None)]
     stored = articles.profiles(spark.createDataFrame(members, "cluster_id long, id long, title string, normalized_text string"))
