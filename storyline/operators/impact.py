@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hits, terms
+from ..functions.text import hits, terms, words_array
 from ..lexicons import EVENT_KEYWORDS, IMPACT_RULES, LISTS, NEGATIVE, POSITIVE, SECTOR_ACTORS, SECTOR_KEYWORDS
 
 
@@ -83,8 +83,11 @@ def impact_lists(own: Column, kind: Column, found: Column, fix_prefix: bool = Fa
 
 
 def analyze(nodes: DataFrame, text: Column) -> DataFrame:
-    """nodes with impact_type, sectors, direction, confidence_score and the four lists; a narrow map, no shuffle."""
-    out = nodes.withColumn("_terms", terms(text)).withColumn("impact_type", event_type(F.col("_terms"))).withColumn("sectors", sectors(F.col("_terms")))
+    """nodes with impact_type, sectors, direction, confidence_score and the four lists; a narrow map, no shuffle.
+
+    A text's terms are cut down to those of any list once; what is counted after that are the few that are left."""
+    listed = list(dict.fromkeys(w for words in (*EVENT_KEYWORDS.values(), *SECTOR_KEYWORDS.values()) for w in words.split()) | dict.fromkeys([*POSITIVE, *NEGATIVE]))
+    out = nodes.withColumn("_terms", F.array_intersect(terms(text), words_array(listed))).withColumn("impact_type", event_type(F.col("_terms"))).withColumn("sectors", sectors(F.col("_terms")))
     out = out.withColumn("direction", direction(F.col("_terms"))).withColumn("confidence_score", confidence(F.col("_terms"), F.col("impact_type"), F.col("sectors")))
     out = out.withColumn("_lists", impact_lists(F.col("_terms"), F.col("impact_type"), F.col("sectors")))
     return out.select("*", "_lists.*").drop("_terms", "_lists")

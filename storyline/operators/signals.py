@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import signal_terms, time_span
+from ..functions.text import signal_terms, time_span, words_array
 from ..lexicons import SIGNAL_PHRASES
 
 MIN_STRENGTH = 0.25
@@ -14,7 +14,8 @@ MIN_STRENGTH = 0.25
 def detect(rows: DataFrame, text: Column, phrases=SIGNAL_PHRASES) -> DataFrame:
     """rows with phrase, signal_type, weight: one row for each phrase among a text's terms; the lexicon is broadcast."""
     lexicon = rows.sparkSession.createDataFrame([(p, t, w) for t, own in phrases.items() for p, w in own.items()], "phrase string, signal_type string, weight double")
-    return rows.withColumn("phrase", F.explode(signal_terms(text))).join(F.broadcast(lexicon), "phrase")
+    words = words_array(sorted({p for own in phrases.values() for p in own}))
+    return rows.withColumn("phrase", F.explode(F.array_intersect(signal_terms(text), words))).join(F.broadcast(lexicon), "phrase")
 
 
 def persistence(first: Column, last: Column, as_of: Column) -> Column:
