@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words_array
 from ..lexicons import LOW_WEIGHT, SEARCH_STOPWORDS, SYNONYMS
+from .graph import settled
 
 
 def tokenize(query: Column) -> Column:
@@ -48,18 +49,42 @@ def relevance(q: Column, term: Column, entity: Column, topic: Column, text: Colu
     return F.when(core_e + core_t + core_d > 0, score)
 
 
+def grams(text: Column) -> Column:
+    """The distinct pieces of a text of one to three characters, and the empty one: every text of up to three characters that it contains."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+
+
+def candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, id): nodes whose text contains a core word of a query. asked: query, core; texts: id, text.
+
+    A word is looked up by that of its pieces of three characters (or by itself, if it is shorter) which fewest nodes hold; the
+    postings of pieces that no query asks for are left out first. So the work grows with the nodes that a word may be in.
+    """
+    word = asked.select("query", F.explode("core").alias("word"))
+    piece = F.when(F.length("word") <= 3, F.array("word")).otherwise(F.filter(grams(F.col("word")), lambda g: F.length(g) == 3))
+    pieces = settled(word.select("word").distinct().select("word", F.explode(piece).alias("gram")), "word-pieces")
+    postings = texts.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(pieces.select("gram").distinct(), "gram", "left_semi")
+    postings = settled(postings, "postings")
+    held = pieces.join(postings.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    best = held.groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).select("word", "best.gram")
+    found = best.join(postings, "gram").join(texts, "id").where(F.contains("text", F.col("word"))).select("word", "id")
+    return word.join(found, "word").select("query", "id").distinct()
+
+
 def search(nodes: DataFrame, queries: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
     """(query, rank, id, score): nodes: id, entity, main_topic, description, timestamp, is_anchor; queries: query.
 
-    The queries are few and stated; each goes to every node's task once, and a task hands on `limit` nodes a query.
+    Only nodes that contain a core word of the query have a score, and only those are scored. Repeated queries count once.
     """
-    asked = queries.select("query", F.lower(F.trim("query")).alias("_term"), tokenize(F.col("query")).alias("_q"))
-    asked = asked.agg(F.collect_list(F.struct("query", "_term", "_q")).alias("_all"))
-    every = nodes.join(F.broadcast(asked)).withColumn("_a", F.explode("_all"))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    asked = settled(queries.select("query").where("query is not null").distinct().select("query", F.lower(F.trim("query")).alias("_term"), tokenize(F.col("query")).alias("_q")), "queries")
+    text = nodes.select("id", F.concat_ws("\n", low("entity"), low("main_topic"), low("description")).alias("text"))
+    every = candidates(asked.select("query", "_q.core"), text).join(asked, "query").join(nodes, "id")
     age = (F.unix_micros(as_of) - F.unix_micros("timestamp")) / 86400e6
-    score = relevance(F.col("_a._q"), F.col("_a._term"), low("entity"), low("main_topic"), low("description"))
+    score = relevance(F.col("_q"), F.col("_term"), low("entity"), low("main_topic"), low("description"))
     score = score + F.coalesce(F.greatest(F.lit(0.0), 3.0 - age / 10.0), F.lit(0.0)) + F.when(F.coalesce("is_anchor", F.lit(False)), 1.0).otherwise(0.0)
-    scored = every.select(F.col("_a.query").alias("query"), "id", F.round(score, 6).alias("score")).where("score is not null")
+    scored = every.select("query", "id", F.round(score, 6).alias("score")).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "rank", "id", "score")

@@ -250,6 +250,26 @@ def test_search_core_words(spark):
     assert set(q["core"]) == {"uae", "hormuz"} and "strait" in q["synonyms"]
 
 
+def test_search_finds_what_scoring_all_nodes_does(spark):
+    rng, at = random.Random(9), datetime(2024, 1, 20)
+    words = "oil uae hormuz force bank us merger of grain straits port a b2 un help opens".split()
+    pick = lambda n: " ".join(rng.choices(words, k=n))
+    nodes = [(i, pick(1).title() if i % 5 else None, pick(rng.randrange(4)), pick(rng.randrange(7)) if i % 7 else None, at if i % 3 else None, i % 10 == 0) for i in range(60)]
+    df = spark.createDataFrame(nodes, "id long, entity string, main_topic string, description string, timestamp timestamp, is_anchor boolean")
+    asked = ["UAE wants to help US force Hormuz open", "oil", "a", "", "the of", "bank merger", "bank merger", "strait", "zzz", *(pick(3) for _ in range(6))]
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    got = sorted(map(tuple, search.search(df, spark.createDataFrame([(q,) for q in asked], "query string"), now, 7).collect()))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    want = []
+    for q in sorted(set(asked)):  # every node is scored for every query
+        parts = search.tokenize(F.lit(q))
+        score = search.relevance(parts, F.lower(F.trim(F.lit(q))), low("entity"), low("main_topic"), low("description"))
+        score = score + F.when(F.col("timestamp").isNotNull(), 3.0 - 1.2).otherwise(0.0) + F.when(F.col("is_anchor"), 1.0).otherwise(0.0)
+        rows = sorted((-r["s"], r["id"]) for r in df.select("id", F.round(score, 6).alias("s")).where("s is not null").collect())[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(rows)]
+    assert got == sorted(want) and len(got) > 60
+
+
 def test_quality_counts_each_fault(spark):
     t = {k: spark.createDataFrame([], v) for k, v in TABLES.items()}
     assert quality.health(quality.checks(t)).first()["health"] == "healthy"
