@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from storyline.operators import store
 from storyline.plans import pipeline
 from storyline.plans.pipeline import run_pipeline
@@ -47,8 +49,18 @@ def batch(spark, first, titles, source="s"):
     return spark.createDataFrame(rows, NEWS)
 
 
-def test_whole_run(spark):
-    t = run_pipeline(batch(spark, 0, TITLES), "2024-02-01 00:00:00")
+@pytest.fixture(scope="module")
+def first(spark):
+    return run_pipeline(batch(spark, 0, TITLES), "2024-02-01 00:00:00")
+
+
+@pytest.fixture(scope="module")
+def again(spark, first):
+    return run_pipeline(batch(spark, 10, MORE, "another source"), "2024-02-02 00:00:00", first)
+
+
+def test_whole_run(spark, first):
+    t = first
     nodes = {r["id"]: r for r in t["nodes"].collect()}
     assert {*TABLES, "articles", "steps", "validation", "health"} <= set(t)
     assert all(t[k].schema.simpleString() == spark.createDataFrame([], TABLES[k]).schema.simpleString() for k in TABLES)
@@ -60,10 +72,8 @@ def test_whole_run(spark):
     assert t["health"].first()["health"] == "healthy"
 
 
-def test_second_run_keeps_and_compares_what_is_stored(spark):
-    first = run_pipeline(batch(spark, 0, TITLES), "2024-02-01 00:00:00")
+def test_second_run_keeps_and_compares_what_is_stored(spark, first, again):
     ids = lambda df, c="id": sorted(r[c] for r in df.select(c).collect())
-    again = run_pipeline(batch(spark, 10, MORE, "another source"), "2024-02-02 00:00:00", first)
     both = run_pipeline(batch(spark, 0, TITLES).unionByName(batch(spark, 10, MORE, "another source")), "2024-02-02 00:00:00")
     for name in ("raw_news", "cleaned_news"):  # a headline of the first run is compared with
         assert ids(again[name]) == ids(both[name])
@@ -84,25 +94,24 @@ def content(tables):
     return {k: sorted(map(str, tables[k].drop("created_at").collect())) for k in TABLES}
 
 
-def test_failed_run_leaves_the_version_before(spark, tmp_path):
+def test_failed_run_leaves_the_version_before(spark, tmp_path, first, again):
     def fails(run):
         raise ValueError("lost its input")
 
-    root, plain = str(tmp_path / "a"), str(tmp_path / "b")
+    root = str(tmp_path / "a")
     broken = tuple((n, fails if n == "expansion" else f) for n, f in pipeline.STEPS)
-    batches = batch(spark, 0, TITLES), batch(spark, 10, MORE)
-    for df in batches:
-        pipeline.run_stored(df, plain, "2024-02-01 00:00:00")
+    batches = batch(spark, 0, TITLES), batch(spark, 10, MORE, "another source")
     store = Versions(spark, root)
     assert store.tables() == {} and store.version() == 0
     pipeline.run_stored(batches[0], root, "2024-02-01 00:00:00")
     one = content(store.tables())
-    journal = pipeline.run_stored(batches[1], root, "2024-02-01 00:00:00", broken)
+    assert one == content(first)
+    journal = pipeline.run_stored(batches[1], root, "2024-02-02 00:00:00", broken)
     assert [(r["step"], r["error"]) for r in journal if r["status"] == "error"] == [("expansion", "lost its input")]
     assert {"ingestion", "timeline"} <= {r["step"] for r in journal} and not {"impact", "publish"} & {r["step"] for r in journal}
     assert store.version() == 1 and content(store.tables()) == one
-    pipeline.run_stored(batches[1], root, "2024-02-01 00:00:00")
-    assert store.version() == 2 and content(store.tables()) == content(Versions(spark, plain).tables())
+    pipeline.run_stored(batches[1], root, "2024-02-02 00:00:00")
+    assert store.version() == 2 and content(store.tables()) == content(again)
     assert content(store.tables(1)) == one  # readers of the version before still have it
     assert spark.read.parquet(f"{root}/journal").select("run").distinct().count() == 3
 
