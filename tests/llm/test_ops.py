@@ -1,4 +1,4 @@
-"""The ten operators on small tables: nulls, empty texts, repeated rows, ties, clashing columns and empty tables."""
+"""Operators 1 to 10 on small tables: nulls, empty texts, repeated rows, ties, clashing columns and empty tables."""
 
 import hashlib
 import random
