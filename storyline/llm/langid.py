@@ -1,7 +1,7 @@
 """Operator 7: language by compression with zstandard raw-content dictionaries, one a language.
 
-Training is bounded: of each language at most `per_lang` rows (those whose id hashes lowest) go to the driver, and their
-lower-cased text fills a dictionary of `dict_bytes`. Every text is then compressed whole with each dictionary; the
+Training is bounded: of each language at most `per_lang` rows (those whose id hashes lowest) meet in one task, and their
+lower-cased text fills a dictionary of `dict_bytes`, which alone goes to the driver. Every text is then compressed whole with each dictionary; the
 smallest result names the language.
 
 Defined results. A null text, or one without a letter, is `und` with score 0. Repeated rows are judged each. An empty
@@ -25,17 +25,19 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn_dictionaries(docs: DataFrame, per_lang: int = 150, dict_bytes: int = 112_000) -> dict[str, bytes]:
+    """A dictionary of at most dict_bytes for each language, from at most per_lang texts that meet in one task; texts do not reach the driver."""
     rows = docs.where(~held_out(F.col("doc_id"))).where("text is not null and lang is not null")
     rows = bounded_sample(rows.select("doc_id", "text", "lang"), "lang", per_lang)
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect()):
-        texts.setdefault(lang, []).append(text.lower().encode())
-    out = {}
-    for lang, own in texts.items():
-        share = max(1, dict_bytes // len(own))  # a fair part of each text, and more of it while there is room
-        head = b"\n".join(x[:share] for x in own)
-        out[lang] = (b"\n".join(x[share:] for x in own) + b"\n" + head)[-dict_bytes:] or b" " * 8
-    return out
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.lower().encode() for t in sorted(own["text"])]
+        share = max(1, dict_bytes // len(texts))  # a fair part of each text, and more of it while there is room
+        head = b"\n".join(x[:share] for x in texts)
+        whole = (b"\n".join(x[share:] for x in texts) + b"\n" + head)[-dict_bytes:] or b" " * 8
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "dictionary": [whole]})
+
+    found = rows.select("lang", "text").groupBy("lang").applyInPandas(one, "lang string, dictionary binary")
+    return {r["lang"]: bytes(r["dictionary"]) for r in found.collect()}
 
 
 class Classifier:

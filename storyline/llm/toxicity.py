@@ -5,7 +5,8 @@ vector with the word it comes from. A passage of `window` words is the mean of i
 gives the probability; a text is as toxic as its worst passage, so a few words in a long text count. All of it is one
 model: vectors and softmax are trained together, with a soft maximum over passages that hardens as training goes on.
 
-Training is bounded: at most `per_label` labelled rows of each label (those whose id hashes lowest) go to the driver.
+Training is bounded: at most `per_label` labelled rows of each label (those whose id hashes lowest) go to one task, which
+sends back the model alone; no text reaches the driver.
 
 Defined results. Null and empty texts, and texts without a word, get the probability of the bias alone. Repeated rows are
 scored each; of texts that share a labelled doc_id the smallest is learned from. Very long texts are scored whole. Without
@@ -17,6 +18,7 @@ One average over a whole text was measured to call clean texts toxic (README), h
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -158,11 +160,12 @@ class Scorer:
         if not self.model.trained:
             return np.zeros(len(texts))
         split = [words(t) for t in texts]
-        sums = np.r_[0.0, np.cumsum(self.word_logits([w for x in split for w in x]))]
+        logits = self.word_logits([w for x in split for w in x])
         out, n = np.empty(len(texts)), 0
-        for i, x in enumerate(split):
+        for i, x in enumerate(split):  # each text is summed alone, so its score is the same in any batch
             a, b = self.model._passages(len(x))
-            out[i] = ((sums[b + n] - sums[a + n]) / np.maximum(b - a, 1)).max()
+            sums = np.r_[0.0, np.cumsum(logits[n : n + len(x)])]
+            out[i] = ((sums[b] - sums[a]) / np.maximum(b - a, 1)).max()
             n += len(x)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
@@ -172,9 +175,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 700, **o
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.where(~held_out(F.col("doc_id")))
     chosen = bounded_sample(labels.withColumn("text", F.lit(None).cast("string")), "toxic", per_label).drop("text")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows = sorted((r["text"] or "", int(r["toxic"])) for r in rows)
-    return Toxicity(**options).fit([t for t, _ in rows], [y for _, y in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sorted((t or "", y) for x in batches for t, y in zip(x["text"].tolist(), x["toxic"].tolist(), strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(Toxicity(**options).fit([t for t, _ in own], [y for _, y in own]))]})
+
+    model = rows.select("text", "toxic").repartition(1).mapInPandas(train, "model binary").first()
+    return pickle.loads(model["model"]) if model else Toxicity(**options)  # no row: nothing to learn from
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:

@@ -248,6 +248,20 @@ def test_toxicity_learns_and_generalises(spark):
     assert toxicity.op3(d.limit(0), lab.limit(0)).count() == 0
 
 
+def test_toxicity_scores_texts_alone():
+    texts = [f"plain words {i} about grain" + " and more" * (i * 7 % 50) for i in range(60)] + [None, "", "vile scum"] + [f"vile scum {i}" for i in range(60)]
+    model = toxicity.Toxicity().fit(texts, [int(bool(t) and "vile" in t) for t in texts], rounds=20)
+    together = model.scorer().scores(texts).tolist()
+    assert together == [model.scorer().scores([t])[0] for t in texts] == model.scorer().scores(texts[::-1]).tolist()[::-1]
+
+
+def test_dictionaries_do_not_depend_on_partitions(spark):
+    rows = [(i, f"{lang} sentence {i} " * (i % 5 + 1), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)] + [(999, None, "en"), (1000, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (langid.learn_dictionaries(df.repartition(n), per_lang=10, dict_bytes=300) for n in (1, 7))
+    assert one == many and set(one) == {"de", "en", "fr"} and all(8 <= len(x) <= 300 for x in one.values())
+
+
 def test_language(spark):
     syllables = {"aa": ["ka", "mo", "ti"], "bb": ["schr", "elf", "ung"], "cc": ["eau", "oix", "ille"]}
     rng = random.Random(1)
