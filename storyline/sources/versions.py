@@ -40,6 +40,10 @@ class Versions:
     def version(self) -> int:
         return self._manifest()[0]
 
+    def folders(self, name: str) -> list[str]:
+        """The folders of a table in the newest version."""
+        return self._manifest()[1].get(name, ("", []))[1]
+
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """The tables of a version by name; none before the first."""
         read = lambda schema, paths: self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)

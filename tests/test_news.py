@@ -13,7 +13,7 @@ from storyline.operators import articles, graph, headlines, impact, quality, rep
 from storyline.operators.expand import expand, outlines
 from storyline.schemas import TABLES
 from storyline.sources.feeds import read_feed
-from storyline.streaming.incremental import ingest_available
+from storyline.streaming.incremental import KeyFilter, append_new, ingest_available
 
 NEWS = "id long, title string, content string, source string, url string, published_at timestamp, created_at timestamp"
 
@@ -372,6 +372,44 @@ def test_feed_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table2")).select("id").distinct().count() == 6
 
 
+def test_batches_read_only_the_parts_they_may_repeat(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    batch = lambda titles: spark.createDataFrame([(i, t, "c", "s", None, at, at) for i, t in enumerate(titles)], NEWS)
+    table = str(tmp_path / "table")
+    keys = lambda: KeyFilter(spark, f"{table}-keys", digits=1, bits=1 << 20, most_folders=2)
+    append_new(batch([f"t{i}" for i in range(200)]), table, keys())
+    stored = spark.read.parquet(table)
+    assert stored.count() == 200 and set(keys().maybe_stored(stored)) == {r["key_part"] for r in stored.select("key_part").distinct().collect()}
+    again = stored.where("title = 't7'").first()["key_part"]
+    for part in tmp_path.glob("table/key_part=*"):  # files that would fail the batch if it read them
+        if part.name != f"key_part={again}":
+            for f in part.glob("*"):
+                if f.name.startswith("part-"):
+                    f.write_bytes(b"unreadable")
+    append_new(batch(["t7", "t7", "fresh one"]), table, keys())
+    files = lambda: sorted(str(f) for f in tmp_path.glob("table/key_part=*/part-*"))
+    after = files()
+    append_new(batch(["t7", "fresh one"]).where("title = 't7'"), table, keys())
+    assert files() == after and len(after) == len(list(tmp_path.glob("table/key_part=*"))) + 1
+
+
+def test_filter_stays_whole_over_many_batches_and_failures(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    batch = lambda titles: spark.createDataFrame([(i, t, "c", "s", None, at, at) for i, t in enumerate(titles)], NEWS)
+    table, rng, seen = str(tmp_path / "table"), random.Random(1), set()
+    keys = lambda: KeyFilter(spark, f"{table}-keys", digits=1, bits=1 << 15, most_folders=2)
+    keys().add(articles.new_articles(batch(["lost"])))  # a batch that failed after its filter was published and before its rows were
+    append_new(batch(["lost"]), table, keys())
+    for _ in range(4):  # folders of the filter are combined on the way
+        titles = [f"t{rng.randrange(40)}" for _ in range(25)]
+        append_new(batch(titles), table, keys())
+        seen.update(titles)
+        assert len(keys().store.folders("bits")) <= 2
+    assert sorted(r["title"] for r in spark.read.parquet(table).collect()) == sorted(seen | {"lost"})
+    append_new(batch([None, ""]), table, keys())
+    assert spark.read.parquet(table).count() == len(seen) + 1
+
+
 def test_keyword_overlaps_match_brute_force(spark, tmp_path):
     rng = random.Random(5)
     texts = [" ".join(rng.choices([f"word{i}" for i in range(9)], k=rng.randint(1, 12))) for _ in range(150)]
