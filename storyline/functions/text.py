@@ -46,22 +46,34 @@ def source_of(url: Column) -> Column:
     return F.coalesce(F.nullif(netloc, F.lit("")), F.lit("unknown-source"))
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once: what a lambda reads from outside it is else worked out for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def significant_tokens(text: Column) -> Column:
     stop = words_array(HEADLINE_STOPWORDS)
     return F.sort_array(F.filter(F.split(text, " "), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
 
 
 def trigrams(text: Column) -> Column:
-    n = F.length(text)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
-    return F.when(n < 3, F.array(text)).otherwise(F.array_distinct(every))
+    def of(own: Column) -> Column:
+        n = F.length(own)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(own, i, F.lit(3)))
+        return F.when(n < 3, F.array(own)).otherwise(F.array_distinct(every))
+
+    return once(text, of)
 
 
 def blocking_keys(text: Column, tokens: Column) -> Column:
     """The first 16 characters, every pair of the first four sorted tokens, and the first token."""
-    pairs = F.array_compact(F.array(*[F.when(F.size(tokens) > j, F.concat(F.lit("t:"), F.get(tokens, i), F.lit("_"), F.get(tokens, j))) for i, j in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))]))
-    first = F.when(F.size(tokens) > 0, F.array(F.concat(F.lit("s:"), F.get(tokens, 0)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring(text, 1, 16))), pairs, first))
+
+    def of(own: Column) -> Column:
+        pairs = F.array_compact(F.array(*[F.when(F.size(own) > j, F.concat(F.lit("t:"), F.get(own, i), F.lit("_"), F.get(own, j))) for i, j in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))]))
+        first = F.when(F.size(own) > 0, F.array(F.concat(F.lit("s:"), F.get(own, 0)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring(text, 1, 16))), pairs, first))
+
+    return once(tokens, of)
 
 
 def terms(text: Column) -> Column:

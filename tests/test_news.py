@@ -421,3 +421,13 @@ def test_keyword_overlaps_match_brute_force(spark, tmp_path):
     want = {(a, b): round(len(own[a] & own[b]) / min(len(own[a]), len(own[b])), 6) for a in own for b in own if a < b and own[a] and own[b] and len(own[a] & own[b]) / min(len(own[a]), len(own[b])) >= 0.65}
     got = [tuple(r) for r in queries.keyword_overlaps(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) > 24 and {(a, b): s for a, b, s in got} == want
+
+
+def test_lambdas_do_not_repeat_their_text(spark):
+    df = spark.createDataFrame([("Oil prices rise",), ("ab",), ("",)], "t string")
+    got = df.select(T.trigrams(F.lower("t")).alias("g"), T.blocking_keys(F.lower("t"), T.significant_tokens(F.lower("t"))).alias("k"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 3  # once for the trigrams, for the prefix and for the tokens
+    rows = got.collect()
+    assert rows[0]["g"][:2] == ["oil", "il "] and rows[1]["g"] == ["ab"] and rows[2]["g"] == [""]
+    assert rows[0]["k"] == ["p:oil prices rise", "t:oil_prices", "t:oil_rise", "t:prices_rise", "s:oil"]
