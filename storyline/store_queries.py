@@ -48,9 +48,11 @@ def text_parts(s, d) -> DataFrame:
 
 
 def trigram_pairs(s, d) -> DataFrame:
-    n = news(s, d).select("id", T.trigrams(T.normalize_text(T.clean_text(F.col("title")))).alias("g"))
+    """Headlines meet as texts and are cut into trigrams after the join: the trigrams take twenty times their space."""
+    n = news(s, d).select("id", T.normalize_text(T.clean_text(F.col("title"))).alias("g"))
     other = n.select((F.col("id") - 12).alias("id"), F.col("id").alias("other"), F.col("g").alias("h"))
-    return n.join(other, "id").select("id", "other", F.round(T.trigram_similarity(F.col("g"), F.col("h")), 6).alias("similarity"))
+    both = n.join(other, "id").select("id", "other", T.trigrams(F.col("g")).alias("g"), T.trigrams(F.col("h")).alias("h"))
+    return both.select("id", "other", F.round(T.trigram_similarity(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
 def _nodes(s, d) -> DataFrame:

@@ -128,3 +128,13 @@ def test_versions_add_replace_and_gather(spark, tmp_path):
     assert len(store._manifest()[1]["b"][1]) == 2  # the third addition was written with the rows before
     (tmp_path / "v" / "manifest" / "00000006").mkdir()  # a publisher that died before its manifest was there
     assert store.version() == 5 and store.publish({"a": df(7)}) == 6
+
+
+def test_trigram_pairs_move_texts_not_trigrams(spark, tmp_path):
+    from storyline import store_queries
+
+    spark.createDataFrame([(i, f"word{i % 5} text", "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = store_queries.trigram_pairs(spark, str(tmp_path))
+    above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)
+    assert "transform(" in above and "transform(" not in below
+    assert out.count() == 18 and {r["similarity"] for r in out.where("other % 5 = id % 5").collect()} <= {1.0}
