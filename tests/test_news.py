@@ -10,7 +10,7 @@ from storyline import queries
 from storyline.functions import text as T
 from storyline.lexicons import ENTITIES, HEADLINE_STOPWORDS, SIGNAL_PHRASES
 from storyline.operators import articles, graph, headlines, impact, quality, reports, search, signals, timeline
-from storyline.operators.expand import expand, outlines
+from storyline.operators.expand import candidates, expand, outlines
 from storyline.schemas import TABLES
 from storyline.sources.feeds import read_feed
 from storyline.streaming.incremental import KeyFilter, append_new, ingest_available
@@ -431,3 +431,13 @@ def test_lambdas_do_not_repeat_their_text(spark):
     rows = got.collect()
     assert rows[0]["g"][:2] == ["oil", "il "] and rows[1]["g"] == ["ab"] and rows[2]["g"] == [""]
     assert rows[0]["k"] == ["p:oil prices rise", "t:oil_prices", "t:oil_rise", "t:prices_rise", "s:oil"]
+
+
+def test_candidates_shuffle_no_pairs(spark):
+    at = datetime(2024, 1, 1)
+    bases = spark.createDataFrame([(1, 1, "oil bank", at), (2, 2, "bank", at)], "node_id long, cluster_id long, entity string, timestamp timestamp")
+    about = spark.createDataFrame([(1, "oil and bank", at), (2, "bank oil", at), (3, "port", at)], "cluster_id long, main_topic string, latest_ts timestamp")
+    got = candidates(bases, about)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 2, 1)]
+    assert sorted(map(tuple, candidates(bases.unionByName(bases), about).collect())) == [(1, 1, 2), (2, 2, 1)]
