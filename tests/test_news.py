@@ -441,3 +441,14 @@ def test_candidates_shuffle_no_pairs(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 2, 1)]
     assert sorted(map(tuple, candidates(bases.unionByName(bases), about).collect())) == [(1, 1, 2), (2, 2, 1)]
+
+
+def test_keyword_pairs_shuffle_no_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.sample([f"w{k}" for k in range(14)], rng.randint(1, 9))) for i in range(60)]
+    got = articles._rare_word_pairs(spark.createDataFrame(rows, "id long, words array<string>"), 0.6, salts=3, hot=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    want = {(a, b): len(set(x) & set(y)) / min(len(x), len(y)) for a, x in rows for b, y in rows if a < b}
+    assert {(r["a"], r["b"]): r["score"] for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.6}
+    assert got.count() == got.distinct().count()
