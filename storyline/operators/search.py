@@ -56,15 +56,20 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
 
 
-def candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
+def candidates(asked: DataFrame, texts: DataFrame, few: int = 256) -> DataFrame:
     """(query, id): nodes whose text contains a core word of a query. asked: query, core; texts: id, text.
 
-    A word is looked up by that of its pieces of three characters (or by itself, if it is shorter) which fewest nodes hold; the
+    Up to `few` different words are sent to all tasks, and each text is looked through once for each of them. More are
+    looked up by that of their pieces of three characters (or by themselves, if they are shorter) which fewest nodes hold; the
     postings of pieces that no query asks for are left out first. So the work grows with the nodes that a word may be in.
     """
-    word = asked.select("query", F.explode("core").alias("word"))
+    word = settled(asked.select("query", F.explode("core").alias("word")).distinct(), "words")
+    each = word.select("word").distinct()
+    if each.limit(few + 1).count() <= few:
+        found = texts.join(F.broadcast(each), F.contains("text", F.col("word"))).select("word", "id")
+        return found.join(F.broadcast(word), "word").select("query", "id").distinct()
     piece = F.when(F.length("word") <= 3, F.array("word")).otherwise(F.filter(grams(F.col("word")), lambda g: F.length(g) == 3))
-    pieces = settled(word.select("word").distinct().select("word", F.explode(piece).alias("gram")), "word-pieces")
+    pieces = settled(each.select("word", F.explode(piece).alias("gram")), "word-pieces")
     postings = texts.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(pieces.select("gram").distinct(), "gram", "left_semi")
     postings = settled(postings, "postings")
     held = pieces.join(postings.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")

@@ -452,3 +452,11 @@ def test_keyword_pairs_shuffle_no_pairs(spark):
     want = {(a, b): len(set(x) & set(y)) / min(len(x), len(y)) for a, x in rows for b, y in rows if a < b}
     assert {(r["a"], r["b"]): r["score"] for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.6}
     assert got.count() == got.distinct().count()
+
+
+def test_few_words_need_no_pieces_of_texts(spark):
+    asked = spark.createDataFrame([("a", ["oil", "or"]), ("b", ["hormuz", "x"]), ("c", ["zzz"])], "query string, core array<string>")
+    texts = spark.createDataFrame([(1, "oil in hormuz"), (2, "a port"), (3, "axe"), (4, ""), (5, "boiling point")], "id long, text string")
+    direct, pieces = search.candidates(asked, texts), search.candidates(asked, texts, few=0)
+    assert "Generate" not in direct._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, pieces.collect())) == [("a", 1), ("a", 2), ("a", 5), ("b", 1), ("b", 3)]
