@@ -171,6 +171,36 @@ def test_character_counts_bound_the_ratio(spark):
     assert all(r["r"] + 1e-12 >= SequenceMatcher(None, r["a"], r["b"]).quick_ratio() for r in rows) and sum(r["r"] < 0.6 for r in rows) > 20
 
 
+def test_equal_starts_decide_the_ratio(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("ab c", k=rng.randrange(n)))
+    starts = [text(60) for _ in range(400)]
+    pairs = [(x + text(90), x[: rng.randrange(len(x) + 1)] + text(220)) for x in starts] + [("", ""), ("a", "a"), ("a b", "a c")]
+    for least in (0.35, 0.6, 1.0):
+        rows = spark.createDataFrame(pairs, "a string, b string").withColumn("sure", T.same_start(F.col("a"), F.col("b"), least)).collect()
+        assert all(SequenceMatcher(None, r["a"], r["b"]).ratio() >= least for r in rows if r["sure"]) and sum(r["sure"] for r in rows) > (9 if least < 0.5 else 0)
+
+
+def test_expansion_keeps_no_pair_that_starts_decide(spark, monkeypatch):
+    from storyline.operators import expand as E
+
+    kept, asked, settle, ratio = [], [], E.settled, E.ratio_at_least
+    monkeypatch.setattr(E, "settled", lambda df, name: kept.append((name, settle(df, name))) or kept[-1][1])
+    monkeypatch.setattr(E, "ratio_at_least", lambda least: asked.append(least) or ratio(least))
+    at = datetime(2024, 1, 1)
+    texts = [(c, "oil prices", f"oil prices surge in the gulf again {c}", at) for c in range(12)]
+    nodes = [(100 + c, c, "oil", at) for c in range(12)]
+    got = grown(spark, texts, nodes)
+    assert got == grown_by_rule(texts, nodes) and len(got) == 132
+    assert asked and all(df.count() <= 12 for _, df in kept)  # before: 132 pairs were kept, shuffled and compared one by one
+
+
+@pytest.mark.parametrize("brief", [0, 20])
+def test_expansion_of_long_texts_equals_the_rule(spark, monkeypatch, brief):
+    monkeypatch.setattr("storyline.operators.expand.BRIEF", brief)
+    test_expansion_equals_queue_of_the_rule(spark)
+
+
 @pytest.mark.parametrize("chained", [False, True])
 def test_clusters_equal_rule(spark, chained):
     rng = random.Random(6)
