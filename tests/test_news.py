@@ -234,6 +234,40 @@ def test_clusters_equal_rule(spark, chained):
     assert got == of and (chained or len(set(of.values())) > 5)
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_clusters_compare_articles_with_leaders_only(spark, monkeypatch, few):
+    compared, pairs = [], articles.article_pairs
+    monkeypatch.setattr(articles, "FEW", few)
+    monkeypatch.setattr(articles, "article_pairs", lambda own, threshold: compared.append(own.count()) or pairs(own, threshold))
+    rng = random.Random(11)
+    words = ["oil prices surge in gulf", "grain harvest fails again", "port strike ends today", "bank merger talks stall"]
+    texts = {i: " ".join(rng.sample(rng.choice(words).split(), 3) + rng.choices("abc def ghi jkl mno".split(), k=2)) for i in range(60)}
+    key = {i: set(x.split()) for i, x in texts.items()}
+    over = lambda a, b: len(key[a] & key[b]) / min(len(key[a]), len(key[b]))
+    match = lambda a, b: over(a, b) > 0 and 0.6 * over(a, b) + 0.4 * SequenceMatcher(None, texts[b], texts[a]).ratio() >= 0.55
+    leaders = []
+    for i in texts:
+        if not any(match(a, i) for a in leaders):
+            leaders.append(i)
+    own = spark.createDataFrame([(i, x, sorted(key[i])) for i, x in texts.items()], "id long, normalized_text string, words array<string>")
+    got = [(r["a"], r["b"]) for r in articles.leader_matches(own, 0.55, 8, 2).collect()]  # in four ranges
+    assert sorted(got) == [(a, b) for a in leaders for b in texts if a < b and match(a, b)] and len(leaders) > 4
+    assert len(compared) == 4 and sum(compared) < 40
+    compared.clear()
+    rows = [(i, f"{'oil prices surge' if i % 2 else 'grain harvest fails'} {i}", f"{'oil prices surge' if i % 2 else 'grain harvest fails'} {i}") for i in range(300)]
+    got = {r["id"]: r["cluster_id"] for r in articles.cluster_articles(spark.createDataFrame(rows, "id long, title string, normalized_text string")).collect()}
+    assert got == {i: i % 2 for i in range(300)} and compared == [256, 0]  # before: all 300 with each other
+
+
+def test_unions_of_many_words_pair_by_overlap(spark):
+    rng = random.Random(10)
+    sets = {i: set(rng.sample(range(40), rng.randint(1, 30))) for i in range(40)}
+    df = spark.createDataFrame([(i, f"w{w}") for i, own in sets.items() for w in own], "id long, word string")
+    for least in (0.3, 0.65, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= least}
+        assert {tuple(r) for r in articles.union_pairs(df, least).collect()} == want and want
+
+
 def test_items_join_their_best_stored_cluster(spark):
     members = [(1, 10, "Oil prices surge", "oil prices surge again in the gulf"), (1, 11, "Oil price shock", "oil prices fall"), (2, 12, "Cup final tonight", "the cup final is tonight"), (3, 13, None, None)]
     stored = articles.profiles(spark.createDataFrame(members, "cluster_id long, id long, title string, normalized_text string"))
