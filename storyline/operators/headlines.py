@@ -5,11 +5,14 @@ their sequence ratio reaches the threshold. The index has three tables, so that
 
 - heads: id and head of every kept headline;
 - dealt: a row for each token that a near copy may share, with the sizes and bits that most other headlines fail on;
-- order: the trigrams and blocking keys by how many headlines held them when the index was made.
+- order: the trigrams and blocking keys by how many headlines held them when the index was made, and the start that stands
+  for a key.
 
 A token is a blocking key, if few headlines held it then, and else the key with one of the headline's rarer trigrams: in any
 fixed order of trigrams, two sets of which a share `gate` of the larger is common have their first common one so early
-in both that as many follow. Rarity makes tokens selective; a fixed order makes them the same in every run.
+in both that as many follow. Rarity makes tokens selective; a fixed order makes them the same in every run. A frequent key whose
+headlines all started alike then is dealt as that start, which they deal anyway; so a pair may meet without a common
+key, and the keys are looked at again after the join.
 """
 
 from __future__ import annotations
@@ -55,18 +58,20 @@ def _tasks(df: DataFrame) -> int:
 
 
 def _order(described: DataFrame) -> DataFrame:
-    """(kind, value, held): trigrams, of which the cleaned alphabet allows under 100,000, and the keys that HOT headlines held."""
-    grams = described.select(F.explode("grams").alias("value")).groupBy("value").agg(F.count("*").alias("held")).select(F.lit("gram").alias("kind"), "value", "held")
-    keys = described.select(F.explode("keys").alias("value")).groupBy("value").agg(F.count("*").alias("held")).where(F.col("held") > HOT)
-    return grams.unionByName(keys.select(F.lit("key").alias("kind"), "value", "held"))
+    """(kind, value, held, stand): trigrams, of which the cleaned alphabet allows under 100,000, and the keys that HOT headlines
+    held, with the key that stands for them: the start that all of these had, or the key itself."""
+    grams = described.select(F.explode("grams").alias("value")).groupBy("value").agg(F.count("*").alias("held")).select(F.lit("gram").alias("kind"), "value", "held", F.lit(None).cast("string").alias("stand"))
+    start = F.get("keys", 0)  # see blocking_keys
+    keys = described.select(start.alias("start"), F.explode("keys").alias("value")).groupBy("value").agg(F.count("*").alias("held"), F.min("start").alias("start"), F.max("start").alias("last")).where(F.col("held") > HOT)
+    return grams.unionByName(keys.select(F.lit("key").alias("kind"), "value", "held", F.when(F.col("start") == F.col("last"), F.col("start")).otherwise(F.col("value")).alias("stand")))
 
 
 def _dealt(described: DataFrame, order: DataFrame, gate: float) -> DataFrame:
     """(token, id, n, left, len, bits): n trigrams, of which `left` from the token's own on; all n for a token without one."""
     size = F.size("grams")
     rest = described.select("id", "bits", size.alias("n"), F.length("head").alias("len"))
-    key = described.select("id", F.explode("keys").alias("value")).join(order.where("kind = 'key'").select("value", F.lit(True).alias("hot")), "value", "left")
-    key = settled(key.select("id", F.col("value").alias("key"), F.coalesce("hot", F.lit(False)).alias("hot")), "keys")
+    key = described.select("id", F.explode("keys").alias("value")).join(order.where("kind = 'key'").select("value", "stand"), "value", "left")
+    key = settled(key.select("id", F.coalesce("stand", "value").alias("key"), F.col("stand").isNotNull().alias("hot")).distinct(), "keys")
     cold = key.where("not hot").select("id", F.xxhash64("key").alias("token")).join(rest, "id").withColumn("left", F.col("n"))
     gram = described.join(key.where("hot").select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("value"))
     gram = gram.join(F.broadcast(order.where("kind = 'gram'").select("value", "held")), "value", "left")  # under 100,000 rows, see _order
@@ -93,6 +98,8 @@ def _near(pairs: DataFrame, new: DataFrame, old: DataFrame, threshold: float) ->
     full = settled(pairs.join(x, "id").join(y, "before").repartition(_tasks(pairs)), "near-pairs")
     full = full.withColumn("gx", trigrams(F.col("hx"))).withColumn("gy", trigrams(F.col("hy"))).where(trigram_similarity(F.col("gx"), F.col("gy")) >= GATE * threshold)
     full = full.withColumn("cx", char_counts(F.col("hx"))).withColumn("cy", char_counts(F.col("hy"))).where(ratio_bound(F.col("cx"), F.col("cy")) >= threshold - 1e-9)
+    keys = lambda head: blocking_keys(F.col(head), significant_tokens(F.col(head)))
+    full = full.where(F.arrays_overlap(keys("hx"), keys("hy")))  # tokens of keys that another one stands for do not tell
     return full.where(ratio_at_least(threshold)(F.col("hx"), F.col("hy")) >= threshold).select("id", "before")
 
 
@@ -108,6 +115,8 @@ def duplicates(rows: DataFrame, threshold: float = 0.92, index: HeadlineIndex |
     copies = heads.join(first, "head").where(F.col("id") != F.col("first.id")).select("id")
     own = settled(_described(first.select(F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"), "head")), "heads")
     order = index.order if index else settled(_order(own), "order")
+    if "stand" not in order.columns:  # stored before there were any
+        order = order.withColumn("stand", F.when(F.col("kind") == "key", F.col("value")))
     dealt = settled(_dealt(own, order, GATE * threshold), "dealt")
     own = own.select("id", "created_at", "head")
     x, y = dealt.alias("x"), dealt.alias("y")

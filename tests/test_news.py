@@ -163,6 +163,21 @@ def test_stored_headlines_decide_before_new_ones(spark, similar_titles, monkeypa
     assert {r["id"] for r in gone.unionByName(more).collect()} == {i for i, *_ in rows} - kept_by_rule(rows)[0]
 
 
+def test_keys_of_one_start_are_dealt_as_it(spark, monkeypatch):
+    monkeypatch.setattr(headlines, "HOT", 1)
+    rng, at = random.Random(12), datetime(2024, 1, 1)
+    own = "alpha beta gamma delta epsilon zeta eta theta"
+    tails = ["".join(rng.choices("mnopqrstuvwxyz ", k=40)) for _ in range(4)]
+    schema = "id long, title string, created_at timestamp"
+    gone, index = headlines.duplicates(spark.createDataFrame([(i, f"{own} z{t}", at) for i, t in enumerate(tails)], schema))
+    assert gone.isEmpty()
+    sizes = [(r["n"], r["rows"]) for r in index.dealt.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("rows")).collect()]
+    assert len(sizes) == 4 and all(rows < n / 2 for n, rows in sizes)  # before: as many for each of eight keys
+    # another start, with a key that a start stands for: near copies are found, and what shares no key is not held against it
+    new = [(10, f"elpha{own[5:]} z{tails[1]}", at), (11, f"elpha {' '.join('y' + w for w in own.split()[1:])} z{tails[2]}", at)]
+    assert {r["id"] for r in headlines.duplicates(spark.createDataFrame(new, schema), index=index)[0].collect()} == {10}
+
+
 def test_character_counts_bound_the_ratio(spark):
     rng = random.Random(8)
     pairs = [("".join(rng.choices("abé -A1", k=rng.randrange(30))), "".join(rng.choices("abé -A1", k=rng.randrange(30)))) for _ in range(300)]
