@@ -130,7 +130,7 @@ def timeline(run: Run) -> dict[str, int]:
     topics = run.table("event_clusters").select(F.col("id").alias("cluster_id"), "main_topic", "cluster_key")
     known = run.before("nodes").groupBy("cluster_id").agg(F.min("id").alias("_id"))
     derived = build_nodes(articles, topics, run.now).join(known, "cluster_id", "left").withColumn("id", F.coalesce("_id", "id")).drop("_id")
-    nodes, edges, places = build_timeline(settled(derived, "nodes"), run.before("edges"))
+    nodes, edges, places = build_timeline(derived, run.before("edges"))
     n_edges = run.add("edges", edges.withColumn("id", F.xxhash64("from_node_id", "to_node_id", "relation_type")).withColumn("created_at", run.now))
     n_nodes = nodes.count()
     run.replace("nodes", upsert_nodes(run.before("nodes"), nodes.withColumn("created_at", run.now)))

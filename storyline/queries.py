@@ -177,7 +177,7 @@ def expansion_edges(s, d) -> DataFrame:
 
 def _nodes(s, d) -> DataFrame:
     m = news(s, d).withColumn("cluster_id", F.col("id"))
-    topics = m.select("cluster_id", F.array_join(F.slice(T.keywords(F.col("title")), 1, 3), " ").alias("main_topic"), T.cluster_key(T.keywords(F.col("title"))).alias("cluster_key"))
+    topics = m.select("cluster_id", T.keywords(F.col("title")).alias("words")).select("cluster_id", F.array_join(F.slice("words", 1, 3), " ").alias("main_topic"), T.cluster_key(F.col("words")).alias("cluster_key"))
     return L.build_nodes(m, topics, _now())
 
 

@@ -307,6 +307,41 @@ def test_order_is_global(spark):
     assert [r["position_index"] for r in got] == list(range(40)) and got[0]["is_anchor"] and got[-1]["timestamp"] is None
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_neighbours_across_blocks(spark):
+    """By the rule, with gaps, a shared position and missing times; nodes are shuffled once and joined with nothing."""
+    days = {i: datetime(2024, 1, 28 - i * 7 % 20) if i % 6 else None for i in range(30)}
+    place = {i: i + (i > 11) * 3 - (i == 20) for i in range(30)}
+    rows = [(i, f"EVENT: war {i}", "update", days[i], place[i]) for i in days]
+    df = spark.createDataFrame(rows, "id long, description string, event_type string, timestamp timestamp, position_index int")
+    fits = lambda i, j: 1 <= place[j] - place[i] <= 5 and not (days[i] and days[j] and days[i] < days[j])
+    want = {i: sorted((place[j], j) for j in days if fits(i, j)) for i in days if any(fits(i, j) for j in days)}
+    pairs = timeline.neighbours(df)
+    assert shuffles(pairs) == 1 and "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: [(x["p"], x["id"]) for x in r["to"]] for r in pairs.collect()} == want
+    for block in (1, 4, 5, 7):
+        got = timeline.neighbours(df, block=block, salt=3).collect()
+        assert len(got) == len(want) and {r["id"]: [(x["p"], x["id"]) for x in r["to"]] for r in got} == want
+
+
+def test_nodes_of_a_timeline_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        made.add(1)
+        return float(i % 4)
+
+    rows = [(i, "k", datetime(2024, 1, 1 + i % 9), "update", f"EVENT: border war {i}\nTRIGGER: due to\nPREDECESSOR: border war", 1, 1) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id long, cluster_key string, timestamp timestamp, event_type string, description string, frequency long, source_count long").withColumn("score", score("id"))
+    final, edges, places = timeline.build_timeline(nodes)
+    assert final.count() == places.count() == 40 and edges.count() > 0
+    assert made.value == 40
+
+
 def test_impact_blend_and_parse(spark):
     text = F.lit("oil supply shortage export conflict war")
     own = T.terms(text)
