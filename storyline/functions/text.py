@@ -205,3 +205,56 @@ def ratio_above():
         return out
 
     return ratio
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two texts, a character of b at a time: the bits of a number stand for those of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
+
+
+def near_copy(gate: float, threshold: float):
+    """pandas_udf (a, b, apart) -> whether the trigrams of two texts overlap by the gate, as in trigram_similarity, their sequence ratio
+    reaches the threshold, and their first `apart` characters, if any, are not the same.
+
+    Its matching blocks are a common subsequence, and the first of them is no shorter than a common start or end; from 200 characters on,
+    b's frequent ones are left out, so there ends do not tell."""
+
+    def ends(a: str, b: str) -> tuple[int, int]:
+        most = min(len(a), len(b))
+        start = next((i for i in range(most) if a[i] != b[i]), most)
+        return start, next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
+
+    def grams(text: str) -> set[str]:
+        return {text[i : i + 3] for i in range(max(len(text) - 2, 1))}
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, apart in batches:
+            of = {text: grams(text) for text in {*a, *b}}
+            matchers: dict[str, SequenceMatcher] = {}  # one keeps what it knows of its second text
+
+            def alike(x: str, y: str, n: int) -> bool:
+                own, other = of[x], of[y]
+                if len(own & other) / max(len(own), len(other)) < gate or (n and x[:n] == y[:n]):
+                    return False
+                size, (start, end) = len(x) + len(y), ends(x, y)
+                if len(y) < 200 and 2.0 * max(start, end) / size >= threshold:
+                    return True
+                if 2.0 * (start + end + common_length(x[start : len(x) - end], y[start : len(y) - end])) / size < threshold:
+                    return False
+                if y not in matchers:
+                    matchers[y] = SequenceMatcher(None, "", y)
+                matchers[y].set_seq1(x)
+                return matchers[y].ratio() >= threshold
+
+            yield pd.Series(list(map(alike, a.tolist(), b.tolist(), apart.tolist())), dtype=bool)
+
+    return near

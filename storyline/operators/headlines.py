@@ -1,42 +1,44 @@
 """Near-duplicate headlines: an index of those that were kept, probed by new ones, and the ordered rule of which to keep.
 
 Two headlines are compared when they share a blocking key, and are near copies when their trigrams overlap by the gate and
-their sequence ratio reaches the threshold. The index has three tables, so that a later run reads it as it is:
-
-- heads: id and head of every kept headline;
-- dealt: a row for each token that a near copy may share, with the sizes and bits that most other headlines fail on;
-- order: the trigrams and blocking keys by how many headlines held them when the index was made, and the start that stands
-  for a key.
-
-A token is a blocking key, if few headlines held it then, and else the key with one of the headline's rarer trigrams: in any
-fixed order of trigrams, two sets of which a share `gate` of the larger is common have their first common one so early
-in both that as many follow. Rarity makes tokens selective; a fixed order makes them the same in every run. A frequent key whose
-headlines all started alike then is dealt as that start, which they deal anyway; so a pair may meet without a common
-key, and the keys are looked at again after the join.
+their sequence ratio reaches the threshold. The index has two tables, so that a later run reads it as it is:
+
+- heads: every kept headline with bits of its trigrams and of its character counts, in longs;
+- dealt: its blocking keys.
+
+Headlines of one key meet in blocks, each pair of blocks in a task of its own: few operations on longs leave out nearly all
+pairs, whatever a key is shared by, and what is left is decided where it met. Nothing but near copies is kept or shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blocking_keys, char_counts, clean_text, normalize_text, ratio_at_least, ratio_bound, significant_tokens, trigram_similarity, trigrams
+from ..functions.text import COUNTED, blocking_keys, char_counts, clean_text, near_copy, normalize_text, significant_tokens, trigrams
 from .graph import greedy_dropped, settled
 
 GATE = 0.75  # of the threshold
-HOT = 64  # headlines with one key from which on its tokens take a trigram each
+START = 16  # characters of the blocking key that every headline has, see blocking_keys
+HOT = 8192  # headlines of one key up to which they meet in one task; more are cut into blocks
+MOST = 64  # blocks of a key
 WORDS = 8  # 64-bit words of trigram bits
+#: How many of each character of COUNTED, then of all others together, have bits of their own: 384, as texts of these lengths hold them.
+OWN = dict.fromkeys(COUNTED, 2) | {c: n for n, some in ((32, " e"), (20, "ntiaors"), (14, "hdlu"), (10, "cmfpg"), (8, "bvwky")) for c in some}
+OWN = (*map(OWN.get, COUNTED), 6)
+BITS, CHARS = [f"b{k}" for k in range(WORDS)], [f"c{k}" for k in range(-(-sum(OWN) // 64))]
+TRAITS = ["n", "free", *BITS, "over", *CHARS]
 
 
 @dataclass
 class HeadlineIndex:
     heads: DataFrame
     dealt: DataFrame
-    order: DataFrame
 
-    TABLES = ("headline_heads", "headline_dealt", "headline_order")
+    TABLES = ("headline_heads", "headline_dealt")
 
 
 def headlines(rows: DataFrame) -> DataFrame:
@@ -44,63 +46,84 @@ def headlines(rows: DataFrame) -> DataFrame:
     return rows.select("id", "created_at", normalize_text(clean_text(F.col("title"))).alias("head")).where("head <> ''")
 
 
-def _described(heads: DataFrame) -> DataFrame:
-    """heads with grams, keys and bits. Headlines are small and this is work, so they are dealt over all tasks first."""
+def described(heads: DataFrame) -> DataFrame:
+    """heads with their keys, n trigrams and the bits of these and of character counts: a count of 3 sets the first three bits of
+    its character. Trigrams without a bit of their own are `free`, characters without one are `over`.
+    Headlines are small and this is work, so they are dealt over all tasks first."""
     out = heads.repartition(_tasks(heads)).withColumn("grams", trigrams(F.col("head"))).withColumn("keys", blocking_keys(F.col("head"), significant_tokens(F.col("head"))))
-    out = out.withColumn("places", F.transform("grams", lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS)).cast("int")))
+    out = out.withColumn("gram_bits", F.array_distinct(F.transform("grams", lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS)).cast("int")))).withColumn("counts", char_counts(F.col("head")))
+    own = lambda k: F.slice(F.sequence(F.lit(sum(OWN[:k])), F.lit(sum(OWN[: k + 1]) - 1)), 1, F.get("counts", k).cast("int"))
+    out = out.withColumn("char_bits", F.flatten(F.array(*map(own, range(len(OWN))))))
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)
-    word = lambda w: F.aggregate("places", F.lit(0).cast("long"), lambda a, p: F.when(F.shiftright(p, 6) == w, a.bitwiseOR(bit(p))).otherwise(a))
-    return out.withColumn("bits", F.array(*[word(w) for w in range(WORDS)])).drop("places")
+    word = lambda c, w: F.aggregate(c, F.lit(0).cast("long"), lambda a, p: F.when(F.shiftright(p, 6) == w, a.bitwiseOR(bit(p))).otherwise(a))
+    words = [word(c, w).alias(name) for c, names in (("gram_bits", BITS), ("char_bits", CHARS)) for w, name in enumerate(names)]
+    return out.select(*heads.columns, "keys", F.size("grams").alias("n"), (F.size("grams") - F.size("gram_bits")).alias("free"), (F.length("head") - F.size("char_bits")).alias("over"), *words)
+
+
+def dealt(heads: DataFrame) -> DataFrame:
+    """(id, n, key) of described headlines, a row a blocking key."""
+    return heads.select("id", "n", F.explode("keys").alias("key"))
+
+
+def indexed(heads: DataFrame) -> HeadlineIndex:
+    """The index of kept headlines (id, head)."""
+    own = settled(described(heads.select("id", "head")), "heads")
+    return HeadlineIndex(own.select("id", "head", *TRAITS), dealt(own))
 
 
 def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _order(described: DataFrame) -> DataFrame:
-    """(kind, value, held, stand): trigrams, of which the cleaned alphabet allows under 100,000, and the keys that HOT headlines
-    held, with the key that stands for them: the start that all of these had, or the key itself."""
-    grams = described.select(F.explode("grams").alias("value")).groupBy("value").agg(F.count("*").alias("held")).select(F.lit("gram").alias("kind"), "value", "held", F.lit(None).cast("string").alias("stand"))
-    start = F.get("keys", 0)  # see blocking_keys
-    keys = described.select(start.alias("start"), F.explode("keys").alias("value")).groupBy("value").agg(F.count("*").alias("held"), F.min("start").alias("start"), F.max("start").alias("last")).where(F.col("held") > HOT)
-    return grams.unionByName(keys.select(F.lit("key").alias("kind"), "value", "held", F.when(F.col("start") == F.col("last"), F.col("start")).otherwise(F.col("value")).alias("stand")))
-
-
-def _dealt(described: DataFrame, order: DataFrame, gate: float) -> DataFrame:
-    """(token, id, n, left, len, bits): n trigrams, of which `left` from the token's own on; all n for a token without one."""
-    size = F.size("grams")
-    rest = described.select("id", "bits", size.alias("n"), F.length("head").alias("len"))
-    key = described.select("id", F.explode("keys").alias("value")).join(order.where("kind = 'key'").select("value", "stand"), "value", "left")
-    key = settled(key.select("id", F.coalesce("stand", "value").alias("key"), F.col("stand").isNotNull().alias("hot")).distinct(), "keys")
-    cold = key.where("not hot").select("id", F.xxhash64("key").alias("token")).join(rest, "id").withColumn("left", F.col("n"))
-    gram = described.join(key.where("hot").select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("value"))
-    gram = gram.join(F.broadcast(order.where("kind = 'gram'").select("value", "held")), "value", "left")  # under 100,000 rows, see _order
-    ranked = gram.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "value"))).alias("own"))
-    ranked = ranked.select("id", F.size("own").alias("n"), F.posexplode("own").alias("pos", "own")).withColumn("left", F.col("n") - F.col("pos"))
-    ranked = ranked.where(F.col("left") >= gate * F.col("n") - F.lit(1e-9)).select("id", "left", F.col("own.value").alias("gram"))
-    hot = key.where("hot").select("id", "key").join(ranked, "id").select("id", "left", F.xxhash64("key", "gram").alias("token")).join(rest, "id")
-    return hot.unionByName(cold.select(hot.columns))
-
-
-def _may_match(gate: float, ratio: float) -> Column:
-    """What sizes and bits of x and y leave open: a trigram whose bit the other lacks is not shared, and lengths bound the ratio."""
-    lost = lambda a, b: sum((F.bit_count(F.get(f"{a}.bits", i).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", i)))) for i in range(WORDS)), F.lit(0))
-    need = gate * F.greatest("x.n", "y.n") - F.lit(1e-9)
-    shared = F.least(F.col("x.n") - lost("x", "y"), F.col("y.n") - lost("y", "x"))
-    length = 2 * F.least("x.len", "y.len") >= (F.col("x.len") + F.col("y.len")) * ratio - F.lit(1e-9)
-    return (F.least("x.left", "y.left") >= need) & length & (shared >= need)
-
-
-def _near(pairs: DataFrame, new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (id, before) that are near copies: trigram gate and character counts first, the ratio for what is left."""
-    x, y = new.select("id", F.col("head").alias("hx")), old.select(F.col("id").alias("before"), F.col("head").alias("hy"))
-    # written, as the optimizer would else move these costly filters into the join, and so into its few tasks
-    full = settled(pairs.join(x, "id").join(y, "before").repartition(_tasks(pairs)), "near-pairs")
-    full = full.withColumn("gx", trigrams(F.col("hx"))).withColumn("gy", trigrams(F.col("hy"))).where(trigram_similarity(F.col("gx"), F.col("gy")) >= GATE * threshold)
-    full = full.withColumn("cx", char_counts(F.col("hx"))).withColumn("cy", char_counts(F.col("hy"))).where(ratio_bound(F.col("cx"), F.col("cy")) >= threshold - 1e-9)
-    keys = lambda head: blocking_keys(F.col(head), significant_tokens(F.col(head)))
-    full = full.where(F.arrays_overlap(keys("hx"), keys("hy")))  # tokens of keys that another one stands for do not tell
-    return full.where(ratio_at_least(threshold)(F.col("hx"), F.col("hy")) >= threshold).select("id", "before")
+def _may_match(threshold: float) -> Column:
+    """What bits and lengths of x and y leave open: they share no more trigrams or characters than bits and those without one.
+
+    The first alone fails for nearly all pairs. All is kept short, as a method of over 8,000 bytes is not compiled by the JVM."""
+    both = lambda cols, rest: reduce(Column.__add__, (F.bit_count(F.col(f"x.{c}").bitwiseAND(F.col(f"y.{c}"))) for c in cols)) + F.least(f"x.{rest}", f"y.{rest}")
+    size = F.col("x.len") + F.col("y.len")
+    return (both(BITS, "free") >= F.greatest("x.need", "y.need")) & (2 * both(CHARS, "over") >= size * F.lit(threshold - 1e-9))
+
+
+def _blocks(rows: DataFrame, keys: DataFrame, heads: DataFrame, of: str, threshold: float) -> DataFrame:
+    """The headlines behind rows (id, key) of the given keys, with the block that each is in for its key."""
+    need = F.ceil(GATE * threshold * F.col("n") - F.lit(1e-9)).cast("int")
+    sure = lambda c: F.coalesce(c, F.lit(0)).alias(c)  # noqa: E731 - never null, which the join then need not test
+    own = heads.withColumns({"need": need, "len": F.length("head")})
+    met = rows.select("id", "key").join(keys, "key").join(own.select("id", "created_at", "head", *map(sure, ("need", "len", "free", *BITS, "over", *CHARS))), "id")
+    return met.withColumn("block", F.pmod(F.xxhash64("id"), F.col(of)))
+
+
+def _near(x: DataFrame, dealt_x: DataFrame, threshold: float, y: DataFrame | None = None, dealt_y: DataFrame | None = None) -> DataFrame:
+    """(id, before): near copies among headlines x, the later one first, or of x and headlines y before all of them.
+
+    Both described, with created_at. A key other than the start is dealt only where headlines of several starts hold it, and tells
+    of pairs of different starts only: those of one start meet there."""
+    start = F.substring("head", 1, START)
+    held = lambda d, own, n: d.join(own.select("id", start.alias("start")), "id").groupBy("key").agg(F.count("*").alias(n), F.min("start").alias(f"low_{n}"), F.max("start").alias(f"high_{n}"))
+    blocks = lambda n: F.least(F.lit(MOST), F.ceil(F.col(n) / HOT)).cast("bigint")
+    to = lambda low, high: F.explode(F.sequence(low, high))
+    by_start = F.startswith("key", F.lit("p:"))
+    if y is None:
+        keys = held(dealt_x, x, "nx").where(F.col("nx") > 1).where(by_start | (F.col("low_nx") < F.col("high_nx"))).select("key", blocks("nx").alias("px"))
+        rows = _blocks(dealt_x, settled(keys, "keys"), x, "px", threshold)
+        left = rows.withColumn("i", F.col("block")).withColumn("j", to(F.col("block"), F.col("px") - 1))
+        right = rows.withColumn("j", F.col("block")).withColumn("i", to(F.lit(0).cast("bigint"), F.col("block")))
+        once = (F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))
+    else:
+        keys = held(dealt_x, x, "nx").join(held(dealt_y, y, "ny"), "key")
+        several = F.least("low_nx", "low_ny") < F.greatest("high_nx", "high_ny")
+        keys = settled(keys.where(by_start | several).select("key", blocks("nx").alias("px"), blocks("ny").alias("py")), "keys")
+        left = _blocks(dealt_x, keys, x, "px", threshold).withColumn("i", F.col("block")).withColumn("j", to(F.lit(0).cast("bigint"), F.col("py") - 1))
+        right = _blocks(dealt_y, keys, y, "py", threshold).withColumn("j", F.col("block")).withColumn("i", to(F.lit(0).cast("bigint"), F.col("px") - 1))
+        once = F.lit(True)
+    # a fixed number of tasks: adaptive execution would merge them by bytes, and these are few to the pairs they form
+    spread = lambda d: d.drop("block", "px", "py").repartition(4 * _tasks(x), "key", "i", "j")
+    met = spread(left).alias("x").join(spread(right).alias("y"), ["key", "i", "j"]).where(once & _may_match(threshold))
+    early = F.struct("x.created_at", "x.id") < F.struct("y.created_at", "y.id") if y is None else F.lit(False)
+    later = lambda c: F.when(early, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
+    former = lambda c: F.when(early, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    met = met.select(later("id").alias("id"), former("id").alias("before"), later("head").alias("hx"), former("head").alias("hy"), F.when(by_start, 0).otherwise(START).alias("apart"))
+    return met.where(near_copy(GATE * threshold, threshold)("hx", "hy", "apart")).select("id", "before")
 
 
 def duplicates(rows: DataFrame, threshold: float = 0.92, index: HeadlineIndex | None = None) -> tuple[DataFrame, HeadlineIndex]:
@@ -108,34 +131,23 @@ def duplicates(rows: DataFrame, threshold: float = 0.92, index: HeadlineIndex |
 
     Rows come in the order of created_at, then id, behind everything that the index holds; those of the index are kept
     whatever comes. Equal headlines are copies of the first of them. The ratio takes the later headline first.
-    rows: id, title, created_at. Without an index the order of trigrams is made from rows, and is part of the index returned.
+    rows: id, title, created_at.
     """
     heads = headlines(rows)
     first = heads.groupBy("head").agg(F.min(F.struct("created_at", "id")).alias("first"))
     copies = heads.join(first, "head").where(F.col("id") != F.col("first.id")).select("id")
-    own = settled(_described(first.select(F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"), "head")), "heads")
-    order = index.order if index else settled(_order(own), "order")
-    if "stand" not in order.columns:  # stored before there were any
-        order = order.withColumn("stand", F.when(F.col("kind") == "key", F.col("value")))
-    dealt = settled(_dealt(own, order, GATE * threshold), "dealt")
-    own = own.select("id", "created_at", "head")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    fits = _may_match(GATE * threshold, threshold)
-    pairs = x.join(y, "token").where("x.id < y.id").where(fits).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
-    at = own.select("id", "created_at")
-    pairs = pairs.join(at.select(F.col("id").alias("i"), F.col("created_at").alias("ti")), "i").join(at.select(F.col("id").alias("j"), F.col("created_at").alias("tj")), "j")
-    early = F.struct("ti", "i") < F.struct("tj", "j")
-    pairs = pairs.select(F.when(early, F.col("j")).otherwise(F.col("i")).alias("id"), F.when(early, F.col("i")).otherwise(F.col("j")).alias("before"))
-    edges = settled(_near(pairs, own, own, threshold), "near")
+    own = settled(described(first.select(F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"), "head")), "heads")
+    keys = dealt(own)
+    edges = settled(_near(own, keys, threshold), "near")
     stored = None
     if index:
         same = own.join(index.heads.select("head"), "head", "left_semi").select("id")
-        found = x.join(index.dealt.alias("y"), "token").where(fits).select(F.col("x.id").alias("id"), F.col("y.id").alias("before")).distinct()
-        stored = settled(_near(found, own, index.heads, threshold).select("id").unionByName(same).distinct(), "near-stored")
+        found = _near(own, keys, threshold, index.heads.withColumn("created_at", F.lit(None).cast("timestamp")), index.dealt)
+        stored = settled(found.select("id").unionByName(same).distinct(), "near-stored")
         edges = edges.join(stored, "id", "left_anti").join(stored.select(F.col("id").alias("before")), "before", "left_anti")
     gone = greedy_dropped(edges)
     gone = gone if stored is None else gone.unionByName(stored)
     # a copy goes whether its first one is kept or goes, which it then does for a headline before both
     out = settled(gone.unionByName(copies).distinct(), "duplicates")
     kept = own.join(out, "id", "left_anti")
-    return out, HeadlineIndex(kept.select("id", "head"), dealt.join(out, "id", "left_anti"), order)
+    return out, HeadlineIndex(kept.select("id", "head", *TRAITS), keys.join(out, "id", "left_anti"))

@@ -60,7 +60,7 @@ class Run:
         return n
 
     def replace(self, name: str, rows: DataFrame) -> int:
-        self.whole[name], n = written(conform(rows, name), name)
+        self.whole[name], n = written(conform(rows, name) if name in TABLES else rows, name)
         return n
 
     def articles(self) -> DataFrame:
@@ -70,7 +70,14 @@ class Run:
         return own.join(self.table("raw_news"), "id")
 
     def index(self) -> H.HeadlineIndex | None:
-        return H.HeadlineIndex(*map(self.stored.__getitem__, H.HeadlineIndex.TABLES)) if H.HeadlineIndex.TABLES[0] in self.stored else None
+        heads, dealt = H.HeadlineIndex.TABLES
+        if heads not in self.stored:
+            return None
+        if "free" not in self.stored[heads].columns:  # stored before headlines met in blocks
+            index = H.indexed(self.stored[heads])
+            self.whole |= {heads: index.heads, dealt: index.dealt}
+            return index
+        return H.HeadlineIndex(self.stored[heads], self.stored[dealt])
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -101,10 +108,11 @@ def preprocessing(run: Run) -> dict[str, int]:
     gone, index = H.duplicates(fresh, index=run.index())
     kept = cleaned(fresh.join(gone, "id", "left_anti")).withColumn("raw_news_id", F.col("id")).withColumn("created_at", run.now)
     inserted = run.add("cleaned_news", kept)
-    for name, rows in zip(H.HeadlineIndex.TABLES[:2], (index.heads, index.dealt), strict=True):
-        run.add(name, rows)
-    if H.HeadlineIndex.TABLES[2] not in run.stored:
-        run.added[H.HeadlineIndex.TABLES[2]] = index.order
+    for name, rows in zip(H.HeadlineIndex.TABLES, (index.heads, index.dealt), strict=True):
+        if name in run.whole:
+            run.replace(name, run.whole[name].unionByName(rows))
+        else:
+            run.add(name, rows)
     return {"inserted": inserted, "skipped_exact": open_.count() - n, "skipped_fuzzy": n - inserted}
 
 

@@ -178,6 +178,51 @@ def test_keys_of_one_start_are_dealt_as_it(spark, monkeypatch):
     assert {r["id"] for r in headlines.duplicates(spark.createDataFrame(new, schema), index=index)[0].collect()} == {10}
 
 
+def test_headlines_meet_in_blocks_and_keep_near_copies_only(spark, monkeypatch):
+    kept, settle = {}, headlines.settled
+    monkeypatch.setattr(headlines, "settled", lambda df, name: kept.setdefault(name, []).append(settle(df, name)) or kept[name][-1])
+    monkeypatch.setattr(headlines, "HOT", 16)
+    rng, at = random.Random(13), datetime(2024, 1, 1)
+    tail = lambda: " ".join(rng.choices(["and", "tion", "ther", "onen", "wh", "esti", "re"], k=9))
+    titles = [f"Oil prices surge due to {tail()}" for _ in range(50)]
+    titles += [f"{t[:-1]}x" for t in titles[::10]] + [f"{t[:30]}z{t[30:]}" for t in titles[::7]]
+    rows = [(i, t, at) for i, t in enumerate(titles)]
+    gone, index = headlines.duplicates(spark.createDataFrame(rows, "id long, title string, created_at timestamp"))
+    want, _ = kept_by_rule(rows)
+    assert {i for i, *_ in rows} - {r["id"] for r in gone.collect()} == want and len(want) < 55
+    assert index.dealt.groupBy("id").count().where("count > 8").isEmpty()  # a row a key; before: a row for each of many trigrams
+    assert set(kept) <= {"heads", "keys", "near", "duplicates"} and kept["near"][0].distinct().count() < 40  # before: every pair that sizes and bits left open
+
+
+def test_near_copies_equal_gate_and_ratio(spark):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choices("abcd ", k=n))
+    gram = lambda s: {s[i : i + 3] for i in range(max(len(s) - 2, 1))}
+
+    def changed(t):
+        own = list(t)
+        for _ in range(rng.randrange(1 + len(t) // 9)):
+            own[rng.randrange(len(own))] = rng.choice(["", "x", "ab"])
+        return "".join(own) or "a"
+
+    pairs = [(t, changed(t), rng.choice((0, 0, 16))) for t in (text(rng.choice((2, 20, 60, 140, 190, 230))) for _ in range(400))]
+    near = lambda a, b, n: len(gram(a) & gram(b)) / max(len(gram(a)), len(gram(b))) >= 0.69 and SequenceMatcher(None, a, b).ratio() >= 0.92 and not (n and a[:n] == b[:n])
+    got = spark.createDataFrame(pairs, "a string, b string, n int").select("a", "b", "n", T.near_copy(0.69, 0.92)("a", "b", "n").alias("near")).collect()
+    assert all(r["near"] == near(r["a"], r["b"], r["n"]) for r in got) and 40 < sum(r["near"] for r in got) < 360
+    for a, b, _ in pairs[:60]:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next_row(row, x, b)
+        assert T.common_length(a, b) == row[-1]
+
+
+def _next_row(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
+
+
 def test_character_counts_bound_the_ratio(spark):
     rng = random.Random(8)
     pairs = [("".join(rng.choices("abé -A1", k=rng.randrange(30))), "".join(rng.choices("abé -A1", k=rng.randrange(30)))) for _ in range(300)]
