@@ -11,6 +11,7 @@ from storyline.functions import text as T
 from storyline.lexicons import ENTITIES, HEADLINE_STOPWORDS, SIGNAL_PHRASES
 from storyline.operators import articles, graph, headlines, impact, quality, reports, search, signals, timeline
 from storyline.operators.expand import candidates, expand, outlines
+from storyline.plans import pipeline
 from storyline.schemas import TABLES
 from storyline.sources.feeds import read_feed
 from storyline.streaming.incremental import KeyFilter, append_new, ingest_available
@@ -194,6 +195,19 @@ def test_headlines_meet_in_blocks_and_keep_near_copies_only(spark, monkeypatch):
     assert set(kept) <= {"heads", "keys", "near", "duplicates"} and kept["near"][0].distinct().count() < 40  # before: every pair that sizes and bits left open
 
 
+def test_index_of_an_older_form_is_made_anew(spark):
+    at = datetime(2024, 1, 1)
+    schema = "id long, title string, created_at timestamp"
+    titles = ["Oil prices surge in the gulf again", "Grain harvest fails in the north"]
+    _, index = headlines.duplicates(spark.createDataFrame([(i, t, at) for i, t in enumerate(titles)], schema))
+    older = {"headline_heads": index.heads.select("id", "head"), "headline_dealt": spark.createDataFrame([(1, 0)], "token long, id long")}
+    run = pipeline.Run(spark.createDataFrame([], NEWS), F.lit(at), older)
+    assert sorted(map(tuple, run.index().dealt.collect())) == sorted(map(tuple, index.dealt.collect()))
+    assert sorted(map(tuple, run.whole["headline_heads"].collect())) == sorted(map(tuple, index.heads.collect()))
+    new = spark.createDataFrame([(5, titles[0] + "s", at), (6, "Port strike ends today", at)], schema)
+    assert [r["id"] for r in headlines.duplicates(new, index=run.index())[0].collect()] == [5]
+
+
 def test_near_copies_equal_gate_and_ratio(spark):
     rng = random.Random(14)
     text = lambda n: "".join(rng.choices("abcd ", k=n))
@@ -613,6 +627,22 @@ def test_keyword_pairs_shuffle_no_pairs(spark):
     assert got.count() == got.distinct().count()
 
 
+@pytest.mark.parametrize("frequent", [1, 3])
+def test_keyword_pairs_judge_by_bits_and_codes(spark, monkeypatch, frequent):
+    kept, settle = {}, articles.settled
+    monkeypatch.setattr(articles, "settled", lambda df, name: kept.update({name: settle(df, name)}) or kept[name])
+    monkeypatch.setattr(articles, "FREQUENT", frequent)
+    rng = random.Random(15)
+    often, seldom = [f"w{k}" for k in range(30)], [f"s{k}" for k in range(500)]
+    rows = [(i, rng.sample(often, rng.randint(0, 8)) + rng.sample(seldom, rng.randint(0, 5))) for i in range(100)]
+    rows += [(100 + i, sorted({*rng.sample(w, rng.randint(0, len(w))), rng.choice(seldom)})) for i, (_, w) in enumerate(rows)]
+    sets = [(i, set(w)) for i, w in rows if w]
+    want = {(a, b): len(x & y) / min(len(x), len(y)) for a, x in sets for b, y in sets if a < b}
+    got = articles._rare_word_pairs(spark.createDataFrame(rows, "id long, words array<string>"), 0.6, salts=3, hot=4)
+    assert {(r["a"], r["b"]): r["score"] for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.6} and got.count() == got.distinct().count()
+    assert {"h0", "r0", "need"} <= set(kept["smaller"].columns) and "words" not in kept["larger"].columns  # before: pairs compared all their words
+
+
 def test_few_words_need_no_pieces_of_texts(spark):
     asked = spark.createDataFrame([("a", ["oil", "or"]), ("b", ["hormuz", "x"]), ("c", ["zzz"])], "query string, core array<string>")
     texts = spark.createDataFrame([(1, "oil in hormuz"), (2, "a port"), (3, "axe"), (4, ""), (5, "boiling point")], "id long, text string")
